@@ -103,7 +103,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     docs = renamed(docs, {"doc_id": id_col, "text": text_col})
     windows, owners, postings, anchors, n = _prepared(docs, renamed(bench, {"item_id": item_col, "text": item_text_col}), length, limit)
     candidates = stored(intersected(postings, stored(anchors, "anchors"), n, limit), "candidates")
-    texts = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(candidates.select("key").distinct(), "key", "left_semi").select("key", words_of(F.col("text")).alias("words"))
+    # The same join at every size: the number of candidates grows with the documents, so it is never broadcast.
+    texts = docs.withColumn("key", F.xxhash64("doc_id", "text")).join(candidates.select("key").distinct().hint("merge"), "key", "left_semi").select("key", words_of(F.col("text")).alias("words"))
     phrases = windows.select("wid", F.col("words").alias("phrase"))
     checked = texts.join(candidates, "key").join(_sized(phrases, n, limit), "wid").where(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("phrase"))
     hits = stored(checked.select("key", "start", "len", "wid").distinct(), "hits")
