@@ -27,13 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ppm, textscan
 from .common import Latest, crc_bucket, renamed, stored, table
 
-ORDER, SLICE, FREQUENT = 5, 4_000_000, 1 << 18
+ORDER, SLICE, FREQUENT = 5, 4_000_000, 1 << 17
 _built = Latest()
 
 
@@ -69,6 +69,39 @@ def _counts(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k1), kind, np.int32)), pa.array(k1), pa.array(c1)], ["kind", "key", "n"])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's (key, n) as one compressed row: sorted keys as differences, then the counts."""
+    keys, counts = [], []
+    for batch in batches:
+        keys.append(batch["key"].to_numpy(zero_copy_only=False).view(np.uint64))
+        counts.append(batch["n"].to_numpy(zero_copy_only=False))
+    if keys:
+        k, c = ppm.merge(keys, counts)
+        body = np.diff(k, prepend=np.uint64(0)).tobytes() + c.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([len(k)], pa.int64()), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary())], ["n", "body"])
+
+
+def _collected(pairs: DataFrame) -> list[tuple[int, bytes]]:
+    return [(r.n, bytes(r.body)) for r in pairs.select("key", "n").mapInArrow(_pack, "n long, body binary").collect()]
+
+
+def _unpacked(parts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for n, body in parts:
+        flat = np.frombuffer(pa.decompress(body, 16 * n, "zstd"), np.uint64)
+        keys.append(np.cumsum(flat[:n], dtype=np.uint64))
+        counts.append(flat[n:].view(np.int64))
+    return ppm.merge(keys, counts)
+
+
+def _frequent(words: DataFrame, most: int) -> DataFrame:
+    """The words above the least count that at most ``most`` words reach."""
+    spread = words.groupBy("n").agg(F.count("*").alias("k"))
+    from_top = F.sum("k").over(Window.orderBy(F.desc("n")))
+    least = spread.withColumn("above", from_top).where(F.col("above") <= most).agg(F.min("n")).first()[0]
+    return words.where(F.col("n") >= least) if least is not None else words.where("false")
+
+
 def _slices(grams: DataFrame, order: int, limit: int) -> list[np.ndarray]:
     """For each slice, which of the 65,536 two-byte context ends it owns."""
     end = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF).alias("end")
@@ -88,15 +121,15 @@ def _score(batches: Iterator[pa.RecordBatch], order: int, models: list, frequent
     from pyspark import TaskContext
 
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-    words, log_c = frequent.value
-    index = textscan.HashIndex(words)
+    words, times = _unpacked(frequent.value)
+    index, log_c = textscan.HashIndex(words), np.log10(times + 1.0)
     with np.errstate(over="ignore"):
         for batch in batches:
             bits, n_tokens, known, total, rare, rare_n, size = [], [], [], [], [], [], []
             for lo, hi, norm, at, hashes, first in _texts(batch):
                 sums = np.zeros(hi - lo)
                 for i, (bc, own) in enumerate(models):
-                    tree = _built.get(bc, lambda pair: ppm.ContextTree(*pair, order), i)
+                    tree = _built.get(bc, lambda parts: ppm.ContextTree(*_unpacked(parts), order), i)
                     sums += tree.costs(norm, at, own if len(models) > 1 else None)
                 bits.append(sums)
                 n = np.diff(first)
@@ -143,24 +176,18 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     texts = int(sums["n"].get(2, 0))
     tokens = int(sums["n"].get(0, 0)) + texts
     distinct = int(sums["k"].get(0, 0)) + (texts > 0)
-    common = words.orderBy(F.desc("n"), "key").limit(frequent).toPandas()
-    known = spark.sparkContext.broadcast((common["key"].to_numpy(np.int64).view(np.uint64), np.log10(common["n"].to_numpy(np.float64) + 1)))
-
+    known = spark.sparkContext.broadcast(_collected(_frequent(words, frequent)))
     slices = _slices(grams, order, slice_grams)
-    end = F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)
     models = []
     for own in slices:
         if len(slices) == 1:
-            part = grams.toPandas()
-            pair = (part["key"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.int64))
+            parts = _collected(grams)
         else:
-            ends = spark.createDataFrame([(int(e),) for e in np.flatnonzero(own)], "end int")
-            part = grams.withColumn("end", end.cast("int")).join(F.broadcast(ends), "end", "left_semi").select("key", "n").toPandas()
-            pair = (part["key"].to_numpy(np.int64).view(np.uint64), part["n"].to_numpy(np.int64))
-            rest = grams.withColumn("end", end.cast("int")).join(F.broadcast(ends), "end", "left_anti")
-            low = rest.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).toPandas()
-            pair = (np.concatenate([pair[0], low["key"].to_numpy(np.int64).view(np.uint64)]), np.concatenate([pair[1], low["n"].to_numpy(np.int64)]))
-        models.append((spark.sparkContext.broadcast(pair), own))
+            ends = F.broadcast(spark.createDataFrame([(int(e),) for e in np.flatnonzero(own)], "end int"))
+            ended = grams.withColumn("end", F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF).cast("int"))
+            short = ended.join(ends, "end", "left_anti").groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n"))
+            parts = _collected(ended.join(ends, "end", "left_semi").select("key", "n")) + _collected(short)
+        models.append((spark.sparkContext.broadcast(parts), own))
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>, times array<int>"
     some = texts > 0
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
