@@ -9,10 +9,9 @@ Plan
 2. The segments are read back.  What precedes a partition is the sum over the partitions
    before it: one row each.
 
-Tokenizing: a text is cut at ASCII white space, which the tokenizer drops and never
-joins across; each distinct piece is encoded once per task by the tokenizers library and kept in a
-vectorised map (emptied when it grows past ``CACHE`` pieces).  Pieces to encode are joined by the tokenizer's own
-end marker, so one call encodes thousands.
+Tokenizing: a text is cut into pieces where the tokenizer's own pattern always cuts; each distinct piece is
+encoded once per task by the tokenizers library and kept in a vectorised map (emptied when it grows past
+``CACHE`` pieces).
 
 Defined results: a null or empty text is the end id alone; rows with equal ids follow each other in
 a fixed order of their texts' hashes; a null id comes first; an empty table gives no rows.
@@ -42,53 +41,93 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127], _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 3, 1, 1, 2
+
+
+def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, the pieces' starts and ends, each row's first piece, and which pieces are plain letters.
+
+    A piece ends at white space and wherever letters (ASCII and Latin-1), ASCII digits and ASCII signs
+    meet: the tokenizer's own pattern ends a match there, except after an apostrophe.  Rows near the text of a
+    special token are cut at white space only.
+    """
+    whole = b"<|" in buf.tobytes()
+    if whole:
+        return buf, *textscan.space_words(buf, offsets), None
+    low = textscan.lower_ascii(buf)
+    kind = _CLASS[low]
+    lead = np.flatnonzero(low[:-1] == 0xC3)
+    tail = low[lead + 1]
+    letter = (tail >= 0x80) & (tail != 0x97) & (tail != 0xB7)
+    lead, tail = lead[letter], tail[letter]
+    low[lead + 1] = np.where(tail < 0x9F, tail + 0x20, tail)
+    kind[lead] = kind[lead + 1] = 1
+    change = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & ~((low[:-1] == 39) & (kind[1:] == 1))
+    starts, ends, first = textscan.space_words(low, offsets, np.flatnonzero(change) + 1)
+    odd = np.concatenate([[0], np.cumsum(kind != 1)])
+    return low, starts, ends, first, odd[ends] == odd[starts]
+
+
 class PieceCache:
-    """Token ids of white-space separated pieces, encoded once each."""
+    """Token ids of pieces, encoded once each.
+
+    Plain letter pieces need neither normalisation nor the split pattern, so a tokenizer of the same
+    model that only splits at blanks encodes thousands in one call; each ends with the one token that carries the
+    end-of-word mark.  All other pieces go through the whole tokenizer, joined by its end marker.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marked = self.tokenizer.token_to_id(_MARK_TEXT) == _MARK
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.index = textscan.HashIndex()
         self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        odd = [not self.marked or "<|" in p for p in pieces]
-        plain = iter(())
-        if not all(odd):
-            ids = np.array(self.tokenizer.encode(_MARK_TEXT.join(p for p, o in zip(pieces, odd, strict=True) if not o), add_special_tokens=False).ids, np.int64)
-            cuts = np.flatnonzero(ids == _MARK)
-            plain = iter(np.split(ids, cuts))
-        out, fresh = [], True
-        for p, o in zip(pieces, odd, strict=True):
-            if o:
-                out.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int64))
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a piece without an end-of-word token")
+        return ids, np.diff(ends, prepend=0)
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts: list[list[int]] = []
+        safe = [w for w in words if self.marked and "<|" not in w]
+        joined = np.array(self.tokenizer.encode(_MARK_TEXT.join(safe), add_special_tokens=False).ids if safe else [], np.int64)
+        cuts = np.concatenate([[-1], np.flatnonzero(joined == _MARK), [len(joined)]])
+        nth = 0
+        for w in words:
+            if self.marked and "<|" not in w:
+                parts.append(joined[cuts[nth] + 1 : cuts[nth + 1]].tolist())
+                nth += 1
             else:
-                part = next(plain)
-                out.append(part if fresh else part[1:])
-                fresh = False
-        return out
-
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 4096):
-            for part in [self._encode(pieces[i : i + 4096])]:
-                lens = np.array([len(x) for x in part])
-                flat = np.concatenate(part) if len(part) else np.zeros(0, np.int64)
-                while self.used + len(flat) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-                self.ids[self.used : self.used + len(flat)] = flat
-                self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens)])
-                self.used += len(flat)
+                parts.append(self.tokenizer.encode(w, add_special_tokens=False).ids)
+        return np.array([i for p in parts for i in p], np.int64), np.array([len(p) for p in parts], np.int64)
+
+    def _learn(self, keys: np.ndarray, words: list[str], encode) -> None:
+        for i in range(0, len(words), 8192):
+            flat, lens = encode(words[i : i + 8192])
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens)])
+            self.used += len(flat)
         self.index.add(keys)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, each closed by ``end_id``, and how many ids each row has."""
-        starts, ends, first = textscan.space_words(buf, offsets)
+        buf, starts, ends, first, plain = pieces(buf, offsets)
         keys = textscan.span_hashes(buf, starts, ends)
         if self.index.n > CACHE:
             self.clear()
@@ -98,16 +137,19 @@ class PieceCache:
             new, where = np.unique(keys[missing], return_index=True)
             where = missing[where]
             data = buf.tobytes()
-            self._learn(new, [data[a:z].decode("utf-8") for a, z in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            simple = np.zeros(len(where), bool) if plain is None else plain[where]
+            for which, encode in ((simple, self._plain), (~simple, self._other)):
+                spot = where[which]
+                self._learn(new[which], [data[a:z].decode("utf-8") for a, z in zip(starts[spot].tolist(), ends[spot].tolist(), strict=True)], encode)
             at = self.index.get(keys)
-        lens = self.starts[at + 1] - self.starts[at]
+        lens = (self.starts[1:] - self.starts[:-1])[at] if len(at) else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(lens)])
         n = before[first[1:]] - before[first[:-1]] + 1
-        row_of_word = np.repeat(np.arange(len(n)), np.diff(first))
-        target = before[:-1] + row_of_word  # one end id for every row before
+        row_of_piece = np.repeat(np.arange(len(n)), np.diff(first))
         out = np.full(int(n.sum()), end_id, np.uint32)
-        within = np.arange(int(before[-1])) - np.repeat(before[:-1], lens)
-        out[np.repeat(target, lens) + within] = self.ids[np.repeat(self.starts[at], lens) + within]
+        many = np.arange(int(before[-1]))
+        source = many + np.repeat(self.starts[at] - before[:-1], lens)
+        out[many + np.repeat(row_of_piece, lens)] = self.ids[source]  # one end id for every row before
         return out, n
 
 

@@ -50,14 +50,19 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of True that don't cross a row: starts, ends and, per row, the first run's index."""
+def spans(member: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of True that don't cross a row: starts, ends and, per row, the first run's index.
+
+    ``cut`` lists further places at which a run ends and the next one starts.
+    """
     n = len(member)
     before = np.empty(n + 1, dtype=bool)
     before[0] = False
     before[1:] = member
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
+    if cut is not None:
+        edge[cut] = True
     follows = before.copy()  # the byte before belongs to the same run
     follows[edge] = False
     starts = np.flatnonzero(member & ~follows[:n])
@@ -67,9 +72,9 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def space_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every row."""
-    return spans(~_SPACE[buf], offsets)
+def space_words(buf: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every row, divided further at ``cut``."""
+    return spans(~_SPACE[buf], offsets, cut)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
