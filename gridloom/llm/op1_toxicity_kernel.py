@@ -34,7 +34,7 @@ from . import textscan
 from .common import Latest, crc_bucket, renamed, table
 from .sampling import per_class
 
-SAMPLE, LONGEST, THRESHOLD = 3000, 20_000, 0.3
+SAMPLE, LONGEST, THRESHOLD = 2000, 20_000, 0.3
 DECAY, GAP, WIDTH, LANDMARKS, CACHE = 0.6, 3, 16, 128, 1 << 20
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -88,9 +88,9 @@ def unit_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights:
     out = np.full(len(starts), -np.inf)
     for lo in range(0, len(starts), 4096):
         x, unit = windows(buf, starts[lo : lo + 4096], ends[lo : lo + 4096])
-        for a in range(0, len(x), 8192):
-            cells, w = features(x[a : a + 8192])
-            np.maximum.at(out, lo + unit[a : a + 8192], (weights[cells] * w).sum(1) + bias)
+        for a in range(0, len(x), 2048):
+            cells, w = features(x[a : a + 2048])
+            np.maximum.at(out, lo + unit[a : a + 2048], (weights[cells] * w).sum(1) + bias)
     return out
 
 
@@ -100,14 +100,23 @@ class _Bags:
     def __init__(self, texts: list[str]):
         buf, offsets = textscan.column_bytes(pa.array(texts, pa.string()))
         buf = textscan.lower_ascii(buf)
-        starts, ends, first = units(buf, offsets)
-        keys = textscan.span_hashes(buf, starts, ends)
-        _, where, unit = np.unique(keys, return_index=True, return_inverse=True)
-        self.buf, self.starts, self.ends = buf, starts[where], ends[where]
-        doc = np.repeat(np.arange(len(texts)), np.diff(first))
-        pairs = np.unique(doc * len(where) + unit) if len(where) else np.zeros(0, np.int64)
-        self.doc, self.unit = (pairs // max(len(where), 1)), (pairs % max(len(where), 1))
-        self.n_docs, self.n = len(texts), len(where)
+        index = textscan.HashIndex()
+        starts, ends, docs, found = [], [], [], []
+        for lo, hi in textscan.row_chunks(offsets, 1 << 19):
+            piece = buf[offsets[lo] : offsets[hi]]
+            a, z, first = units(piece, offsets[lo : hi + 1] - offsets[lo])
+            keys = textscan.span_hashes(piece, a, z)
+            new, where = np.unique(keys, return_index=True)
+            fresh = index.get(new) < 0
+            index.add(new[fresh])
+            starts.append((a[where[fresh]] + offsets[lo]).astype(np.int32))
+            ends.append((z[where[fresh]] + offsets[lo]).astype(np.int32))
+            doc = np.repeat(np.arange(lo, hi, dtype=np.int64), np.diff(first))
+            pairs = np.unique(doc << 32 | index.get(keys).astype(np.int64))
+            docs.append((pairs >> 32).astype(np.int32))
+            found.append((pairs & 0xFFFFFFFF).astype(np.int32))
+        self.buf, self.n_docs, self.n = buf, len(texts), index.n
+        self.starts, self.ends, self.doc, self.unit = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (starts, ends, docs, found))
 
     def spread(self, docs: np.ndarray) -> np.ndarray:
         """In how many of the marked documents each unit stands."""
@@ -185,7 +194,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-3))
         rows = np.concatenate([positives, negatives])
-        z = np.concatenate([(bags.dense(rows[i : i + 2000]) @ phi.T) @ root for i in range(0, len(rows), 2000)])
+        z = np.concatenate([(bags.dense(rows[i : i + 256]) @ phi.T) @ root for i in range(0, len(rows), 256)])
         target = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
         weight = np.concatenate([np.sqrt(times), np.ones(len(negatives))])
         weight[: len(times)] *= len(negatives) / weight[: len(times)].sum()
