@@ -17,6 +17,9 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once per application: they need not have it installed."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # the default; whole texts are long rows, so workers get fewer at once
+        spark.conf.set(rows, "2000")
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parents[1]
