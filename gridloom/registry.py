@@ -22,3 +22,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def _load() -> None:
+    from gridloom.plans import array_queries  # noqa: F401  (registers on import)
+
+
+_load()
