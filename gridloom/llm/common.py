@@ -3,31 +3,21 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.ship import ship
 
-_shipped: set[str] = set()
 
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once per application: they need not have it installed."""
+def prepare(spark: SparkSession) -> None:
+    """Ships the package and bounds the rows that a Python worker gets at once."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":  # the default; whole texts are long rows, so workers get fewer at once
+    if spark.conf.get(rows) == "10000":  # the default; whole texts are long rows
         spark.conf.set(rows, "2000")
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = Path(tempfile.mkdtemp())
-        shutil.copytree(package, folder / "src" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "src"))
-        shutil.rmtree(folder / "src")
-        _shipped.add(app)
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +43,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the wanted columns, by their inner names: other columns can't clash."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
 
 
