@@ -102,12 +102,12 @@ def _forest(key, left, percent: int):
     import pandas as pd
 
     ids, comp = left["id"].to_numpy(), left["comp"].to_numpy()
-    sets = [np.asarray(x) for x in left["grams"]]
+    sets = [np.asarray(x, np.int64).view(np.uint64) for x in left["grams"]]  # sorted as unsigned
     second = left["side"].to_numpy() == 1
     same = key[1] == key[2]
     others = np.flatnonzero(second) if not same else np.arange(len(ids))
     length = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate([sets[i] for i in others]) if len(others) else np.zeros(0, np.int64)
+    flat = np.concatenate([sets[i] for i in others]) if len(others) else np.zeros(0, np.uint64)
     cuts = np.concatenate([[0], np.cumsum(length[others])])[:-1]
     root: dict[int, int] = {}
 
