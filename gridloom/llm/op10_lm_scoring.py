@@ -138,7 +138,7 @@ def _score(batches: Iterator[pa.RecordBatch], order: int, models: list, frequent
                 hit = at_ >= 0
                 row = np.repeat(np.arange(hi - lo), n)
                 known.append(np.bincount(row[hit], minlength=hi - lo) + int(seen_at_all))
-                total.append(np.bincount(row[hit], log_c[at_[hit]], hi - lo))
+                total.append(np.bincount(row[hit], log_c[at_[hit]], hi - lo).astype(np.float64))
                 left_row, left = row[~hit], hashes[~hit]
                 o = np.lexsort((left, left_row))
                 left_row, left = left_row[o], left[o]

@@ -244,13 +244,16 @@ class ContextTree:
 
 
 def normalised(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' words (spans) joined by single spaces."""
+    """The rows' words (spans) joined by single spaces, and the new row offsets."""
     lens = ends - starts
     size = np.cumsum(np.concatenate([[0], lens + 1]))
-    out = np.full(int(size[-1]), 32, np.uint8)
+    n = np.diff(first)
+    spare = np.concatenate([[0], np.cumsum(n > 0)])  # no space after a row's last word
+    at = size[first] - spare
+    out = np.full(int(at[-1]), 32, np.uint8)
     if len(lens):
         member = np.arange(int(lens.sum()))
-        word = np.repeat(np.arange(len(lens)), lens)
-        before = np.concatenate([[0], np.cumsum(lens)])[word]
-        out[size[word] + member - before] = buf[starts[word] + member - before]
-    return out, size[first]
+        before = np.concatenate([[0], np.cumsum(lens)])[:-1]
+        target = size[:-1] - np.repeat(spare[:-1], n) - before
+        out[member + np.repeat(target, lens)] = buf[member + np.repeat(starts - before, lens)]
+    return out, at
