@@ -6,9 +6,9 @@ weighted by DECAY ** span; digits, signs and punctuation match nothing and only
 ``i-d*i.o t`` stays near ``idiot``.  The kernel of two units is the normalised inner product.
 
 Training: documents carry the labels; a document is a bag of sentences, a sentence scores as its worst
-unit.  The landmarks are frequent witnesses of toxic bags and units of clean ones; a linear SVM (squared
-hinge) is trained in the Nyström space, and three times the witnesses of toxic bags and the hardest units of
-clean bags are chosen anew.  A fifth of the sample, unseen, calibrates the sigmoid of a document's worst unit.
+unit.  The landmarks are frequent witnesses of toxic bags and units of clean ones; the first witnesses are the
+units most typical of toxic texts.  A linear SVM (squared hinge) is trained in the Nyström space, and in ``ROUNDS``
+rounds the witnesses of toxic bags and the hardest units of clean bags are chosen anew.  A fifth of the sample, unseen, calibrates the sigmoid of a document's worst unit.
 At most about ``SAMPLE`` labelled documents of each class, of at most ``LONGEST`` characters each, are taken,
 chosen by a hash of the id.
 
@@ -35,7 +35,7 @@ from .common import Latest, crc_bucket, renamed, table
 from .sampling import per_class
 
 SAMPLE, LONGEST, THRESHOLD = 2000, 20_000, 0.3
-DECAY, GAP, WIDTH, LANDMARKS, CACHE = 0.6, 3, 16, 128, 1 << 20
+DECAY, GAP, WIDTH, LANDMARKS, ROUNDS, CACHE = 0.6, 3, 16, 128, 5, 1 << 20
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[0x80:0xC0] = 27 + np.arange(64) % 5
@@ -184,7 +184,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
     calm = np.flatnonzero(in_clean > 0)
     negatives = np.unique(np.concatenate([calm[np.argsort(-in_clean[calm], kind="stable")[:2000]], rng.permutation(calm)[:4000]]))
     model = {}
-    for _ in range(4):
+    for _ in range(ROUNDS):
         positives, times = np.unique(who[toxic & (who >= 0)], return_counts=True)
         times, positives = times[in_clean[positives] == 0], positives[in_clean[positives] == 0]
         if not len(positives) or not len(negatives):
@@ -204,7 +204,8 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         score = unit_scores(bags.buf, bags.starts, bags.ends, table, bias)
         model = {"weights": table, "bias": bias}
         _, who = bags.worst(score + 0.1 * np.minimum(odds, 3) * (in_clean == 0))
-        negatives = np.unique(np.concatenate([negatives, calm[np.argsort(-score[calm], kind="stable")[:1500]]]))
+        _, hard = bags.worst(np.where(in_clean > 0, score, -np.inf))
+        negatives = np.unique(np.concatenate([negatives, hard[clean & (hard >= 0)], calm[np.argsort(-score[calm], kind="stable")[:1500]]]))
     worst, _ = bags.worst(score)
     worst = np.maximum(worst, model["bias"])
     prior = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
