@@ -23,6 +23,7 @@ held out; labels that disagree on one id count as toxic; an empty table gives no
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,7 +195,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-3))
         rows = np.concatenate([positives, negatives])
-        z = np.concatenate([(bags.dense(rows[i : i + 256]) @ phi.T) @ root for i in range(0, len(rows), 256)])
+        z = np.concatenate([(bags.dense(rows[i : i + 128]) @ phi.T) @ root for i in range(0, len(rows), 128)])
         target = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
         weight = np.concatenate([np.sqrt(times), np.ones(len(negatives))])
         weight[: len(times)] *= len(negatives) / weight[: len(times)].sum()
@@ -268,9 +269,17 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, longest:
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     chosen = per_class(known, "toxic", "doc_id", sample)
-    rows = docs.where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (hash((r.doc_id * 2654435761) & 0xFFFFFFFF), r.text))
-    return fit([r.text for r in rows], [r.toxic for r in rows], share)
+    rows = docs.where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in zip(*(batch[c].to_pylist() for c in ("doc_id", "toxic", "text")), strict=True)]
+        found.sort(key=lambda r: ((r[0] * 2654435761) & 0xFFFFFFFF, r[2]))
+        model = fit([r[2] for r in found], [r[1] for r in found], share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # The bounded sample is fitted in one task, so that the driver never holds its texts.
+    done = rows.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(bytes(done[0].model)) if done else {"constant": float(share)}
 
 
 def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, held: int, sample: int):
