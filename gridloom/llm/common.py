@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,29 @@ def crc_bucket(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers are kept for later tasks, and stages without Python need the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The same batches; the worker's spare memory is released after the last."""
+    try:
+        yield from batches
+    finally:
+        _release()
+
+
 class Latest:
     """What a Python worker built from a broadcast, kept for its next tasks; another broadcast replaces it.
 

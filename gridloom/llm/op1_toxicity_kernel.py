@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import Latest, crc_bucket, renamed, table
+from .common import Latest, crc_bucket, renamed, table, tidy
 from .sampling import per_class
 
 SAMPLE, LONGEST, THRESHOLD = 2000, 20_000, 0.3
-DECAY, GAP, WIDTH, LANDMARKS, ROUNDS, CACHE = 0.6, 3, 16, 128, 5, 1 << 20
+DECAY, GAP, WIDTH, LANDMARKS, ROUNDS, CACHE = 0.6, 3, 16, 128, 5, 1 << 18
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[0x80:0xC0] = 27 + np.arange(64) % 5
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, longest:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # The bounded sample is fitted in one task, so that the driver never holds its texts.
-    done = rows.repartition(1).mapInArrow(fitted, "model binary").collect()
+    done = rows.repartition(1).mapInArrow(lambda it: tidy(fitted(it)), "model binary").collect()
     return pickle.loads(bytes(done[0].model)) if done else {"constant": float(share)}
 
 
@@ -292,14 +292,14 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted; labels of held-out rows are never read."""
     docs, model = _model(docs, labels, id_col, text_col, label_col, modulus, held, sample)
-    return docs.select("doc_id", "text", "held_out").mapInArrow(lambda it: _score(it, model, threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", "held_out").mapInArrow(lambda it: tidy(_score(it, model, threshold)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 4, held: int = 2, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score below the threshold, with all their own columns."""
     _, model = _model(docs, labels, id_col, text_col, label_col, modulus, held, sample)
     place = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _accept(it, model, threshold, place), docs.schema)
+    return docs.mapInArrow(lambda it: tidy(_accept(it, model, threshold, place)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

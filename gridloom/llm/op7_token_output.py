@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pfor, textscan
-from .common import renamed, stored, table
+from .common import renamed, stored, table, tidy
 
-SEGMENT, CACHE, END_ID = 1 << 18, 1 << 20, 1
+SEGMENT, CACHE, END_ID = 1 << 18, 1 << 19, 1
 _MARK, _MARK_TEXT = 49407, "<|endoftext|>"
 
 
@@ -205,14 +205,14 @@ def write_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     docs = renamed(docs, {"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "part int, segment int, start long, n_ids long, doc_ids array<long>, lengths array<long>, image binary"
-    return stored(ordered.mapInArrow(lambda it: _segments(it, path, end_id, segment), schema), "tokens")
+    return stored(ordered.mapInArrow(lambda it: tidy(_segments(it, path, end_id, segment)), schema), "tokens")
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    rows = segments.select("part", "start", "doc_ids", "lengths", "image").mapInArrow(_read, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = segments.select("part", "start", "doc_ids", "lengths", "image").mapInArrow(lambda it: tidy(_read(it)), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -23,7 +23,6 @@ have no component; an empty table gives no rows; columns besides the two named a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import superminhash, textscan
-from .common import renamed, stored, table
+from .common import renamed, stored, table, tidy
 from .components import connected_components
 
 ROWS, BANDS = 6, 30
@@ -139,7 +138,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct ``words``-word shingles, confirmed on the full sets.
     """
     docs = renamed(docs, {"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = stored(docs.mapInArrow(partial(_prints, words=words, rows=rows, bands=bands), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "prints")
+    prints = stored(docs.mapInArrow(lambda it: tidy(_prints(it, words, rows, bands)), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "prints")
     known = prints.where("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies"))
     members = stored(classes.select("rep", "n", F.explode("bands").alias("band")), "bands")
@@ -147,7 +146,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entries = stored(members.join(buckets, "band").select("band", "rep", "n", "centre", "size"), "buckets")
 
     wanted = entries.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_sets, words=words), "id long, grams array<long>"), "sets")
+    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: tidy(_sets(it, words)), "id long, grams array<long>"), "sets")
     sized = sets.select("id", "grams")
     pairs = entries.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     linked = (
