@@ -14,10 +14,13 @@ from gridloom.ship import ship
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships the package and bounds the rows that a Python worker gets at once."""
+    """Ships the package and bounds what a Python worker gets at once: rows, and bytes, as texts can be very long."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":  # the default; whole texts are long rows
         spark.conf.set(rows, "2000")
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, "4m")
     ship(spark)
 
 
