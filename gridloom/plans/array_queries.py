@@ -534,3 +534,83 @@ def fft_power(spark, d):
     total = F.aggregate(F.zip_with("out_re", "out_im", lambda a, b: a * a + b * b), F.lit(0.0), lambda s, x: s + x)
     return out.select("vec_id", F.round(F.col("out_re")[0] * F.col("out_re")[0], 3).alias("dc"), F.round(total, 2).alias("energy"))
 
+
+# The same operators over whole tables, sizes from counts -----------------------------------------------------------
+
+_ALL = "SELECT vec_id AS i0, unnest(range(0, len(embedding))) AS i1, unnest(embedding)::DOUBLE AS v FROM embeddings"
+_N = "(SELECT count(*) FROM embeddings)"
+_DIMS = "(SELECT max(len(embedding)) FROM embeddings)"
+
+
+def _whole(spark, d):
+    """Every cell of the embeddings, and the numbers of rows and columns."""
+    e = _t(spark, d, "embeddings")
+    cells = e.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v"))
+    rows, cols = e.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    return cells.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), rows, cols
+
+
+@query("transpose_flip_whole", f"SELECT i1 AS i0, ({_N} - 1 - i0)::BIGINT AS i1, round(v, 6) AS v FROM ({_ALL})")
+def transpose_flip_whole(spark, d):
+    m, rows, _ = _whole(spark, d)
+    return shape.flip(shape.transpose(m, ["i0", "i1"], [1, 0]), "i1", rows).withColumn("v", F.round("v", 6))
+
+
+@query("reshape_ravel_whole", f"SELECT ((i0 * {_DIMS} + i1) // {_N})::BIGINT AS r, ((i0 * {_DIMS} + i1) % {_N})::BIGINT AS c, round(v, 6) AS v FROM ({_ALL})")
+def reshape_ravel_whole(spark, d):
+    m, rows, cols = _whole(spark, d)
+    return shape.reshape(m, ["i0", "i1"], (rows, cols), ["r", "c"], (cols, rows)).withColumn("v", F.round("v", 6))
+
+
+@query("tril_trace_whole", f"SELECT round(sum(CASE WHEN i1 <= i0 THEN v ELSE 0 END), 4) AS lower_sum, round(sum(CASE WHEN i1 = i0 THEN v ELSE 0 END), 4) AS trace FROM ({_ALL})")
+def tril_trace_whole(spark, d):
+    m, _, _ = _whole(spark, d)
+    low = shape.tril(m, "i0", "i1", "v").agg(F.round(F.sum("v"), 4).alias("lower_sum"))
+    return low.crossJoin(shape.diagonal(m, "i0", "i1").agg(F.round(F.sum("v"), 4).alias("trace")))
+
+
+@query("pad_reflect_whole", f"WITH s AS (SELECT vec_id AS i, label AS v FROM embeddings), p AS (SELECT unnest(range(0, {_N} + 6)) AS i) SELECT p.i::BIGINT AS i, v FROM p JOIN s ON s.i = CASE WHEN p.i < 3 THEN 3 - p.i WHEN p.i < {_N} + 3 THEN p.i - 3 ELSE 2 * ({_N} - 1) - (p.i - 3) END")
+def pad_reflect_whole(spark, d):
+    s = _t(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").alias("v"))
+    return shape.pad(s, "i", s.count(), 3, 3, "reflect")
+
+
+@query("take_wrap_whole", f"SELECT e.event_id, v.label FROM (SELECT event_id, user_id % {_N} AS i FROM events) e JOIN embeddings v ON v.vec_id = e.i")
+def take_wrap_whole(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "label")
+    return indexing.take(e, "vec_id", _t(spark, d, "events").select("event_id", "user_id"), "user_id", e.count(), "wrap").select("event_id", "label")
+
+
+@query("merge_positional_whole", "SELECT coalesce(s_suppkey, -1)::BIGINT AS s_suppkey, r_regionkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier) FULL JOIN (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) USING (i)")
+def merge_positional_whole(spark, d):
+    return records.merge_arrays(_t(spark, d, "supplier").select("s_suppkey"), _t(spark, d, "region").select("r_regionkey"), (["s_suppkey"], ["r_regionkey"]), {"s_suppkey": -1})
+
+
+@query("matmul_gram_whole", f"SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE), 4) + 0.0 AS v FROM embeddings, range(0, {_DIMS}) a(i), range(0, {_DIMS}) b(j) WHERE i <= j GROUP BY 1, 2")
+def matmul_gram_whole(spark, d):
+    return linalg.gram_batches(_t(spark, d, "embeddings"), "embedding").withColumn("v", _r(F.col("v"), 4))
+
+
+@query("einsum_pair_dot_whole", f"WITH m AS ({_ALL}) SELECT a.i0 AS i0, b.i0 AS i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM m a JOIN m b USING (i1) GROUP BY 1, 2")
+def einsum_pair_dot_whole(spark, d):
+    m, _, _ = _whole(spark, d)
+    return linalg.einsum("ik,jk->ij", m, m).withColumn("v", _r(F.col("v"), 4))
+
+
+@query("norm_rows_whole", f"SELECT i0, round(sqrt(sum(v * v)), 5) AS value FROM ({_ALL}) GROUP BY 1")
+def norm_rows_whole(spark, d):
+    return linalg.norm(_whole(spark, d)[0], "v", 2, ["i0"]).withColumn("value", F.round("value", 5))
+
+
+@query("det_blocks_whole", f"WITH m AS (SELECT (i0 // 2)::BIGINT AS b, (i1 // 2)::INTEGER AS j, i0 % 2 AS r, i1 % 2 AS c, v FROM ({_ALL})) SELECT b, j, round(max(CASE WHEN r = 0 AND c = 0 THEN v END) * max(CASE WHEN r = 1 AND c = 1 THEN v END) - max(CASE WHEN r = 0 AND c = 1 THEN v END) * max(CASE WHEN r = 1 AND c = 0 THEN v END), 6) + 0.0 AS value FROM m GROUP BY 1, 2")
+def det_blocks_whole(spark, d):
+    m, _, _ = _whole(spark, d)
+    pairs = m.select(F.floor(F.col("i0") / 2).cast("long").alias("b"), (F.col("i0") % 2).alias("i0"), "i1", "v")
+    return linalg.pair_dets(pairs).select("b", "j", _r(F.col("value")).alias("value"))
+
+
+@query("dft_long_whole", f"SELECT i0, k::INTEGER AS k, round(sum(v * cos(2 * pi() * ((k * i1) % {_DIMS}) / {_DIMS})), 4) + 0.0 AS re, round(sum(-v * sin(2 * pi() * ((k * i1) % {_DIMS}) / {_DIMS})), 4) + 0.0 AS im FROM ({_ALL}), range(0, {_DIMS}) t(k) GROUP BY 1, 2")
+def dft_long_whole(spark, d):
+    m, _, cols = _whole(spark, d)
+    out = fft.dft(m, "i1", "v", cols, "i0")
+    return out.select("i0", "k", _r(F.col("re"), 4).alias("re"), _r(F.col("im"), 4).alias("im"))
