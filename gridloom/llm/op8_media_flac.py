@@ -3,7 +3,8 @@
 ``encode_media`` turns a text (or binary) column into a media column; ``pcm_blocks`` decodes it into one
 row per frame with its sample offset, so that any block can be sought; ``media_features``
 decodes it and returns digests and integer features per row.  All three are maps over Arrow batches
-without a shuffle, and work through about a megabyte at a time.
+without a shuffle, and work through about a megabyte at a time.  The query writes the media column to a table
+in the shared folder and reads that table.
 
 The feature string holds, over the decoded signed samples: frames, sum, energy, sign changes and peak.
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flac, textscan
-from .common import renamed, table
+from .common import renamed, stored, table
 
 _CHUNK = 1 << 20
 
@@ -93,5 +94,5 @@ def pcm_blocks(media: DataFrame, *, frames: int = 64) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8 over all of ``documents``: the media column is made, then read by the second operator."""
-    return media_features(encode_media(table(spark, sf_dir, "documents")))
+    """op8 over all of ``documents``: the media column is written to a table, and the features come from its reread bytes."""
+    return media_features(stored(encode_media(table(spark, sf_dir, "documents")), "media"))
