@@ -1,13 +1,14 @@
 """Toxicity: a support vector machine with a gap-weighted subsequence string kernel and Nyström landmarks.
 
-Kernel: a unit (a word, or a run of single letters spaced apart) is described by all its
+Kernel: a unit (a word, or a run of single letters parted by blanks and signs) is described by all its
 subsequences of three letters with at most two characters inserted between neighbours, each
 weighted by DECAY ** span; digits, signs and punctuation match nothing and only widen a gap, so
 ``i-d*i.o t`` stays near ``idiot``.  The kernel of two units is the normalised inner product.
 
 Training: documents carry the labels; a document is a bag of sentences, a sentence scores as its worst
 unit.  The landmarks are frequent witnesses of toxic bags and units of clean ones; the first witnesses are the
-units most typical of toxic texts.  A linear SVM (squared hinge) is trained in the Nyström space, and in ``ROUNDS``
+units most typical of toxic texts.  A witness may also stand in clean texts if its log-odds are at least ``ODDS`` and
+``SURE`` standard errors; such a unit is never a negative.  A linear SVM (squared hinge) is trained in the Nyström space, and in ``ROUNDS``
 rounds the witnesses of toxic bags and the hardest units of clean bags are chosen anew.  A fifth of the sample, unseen, calibrates the sigmoid of a document's worst unit.
 At most about ``SAMPLE`` labelled documents of each class, of at most ``LONGEST`` characters each, are taken,
 chosen by a hash of the id.
@@ -37,6 +38,7 @@ from .sampling import per_class
 
 SAMPLE, LONGEST, THRESHOLD = 2000, 20_000, 0.3
 DECAY, GAP, WIDTH, LANDMARKS, ROUNDS, CACHE = 0.6, 3, 16, 128, 5, 1 << 18
+ODDS, SURE = np.log(4.0), 3.0
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[0x80:0xC0] = 27 + np.arange(64) % 5
@@ -59,6 +61,35 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts[heads], ends[last], np.searchsorted(heads, first)
 
 
+def closed_up(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased rows with single letters that blanks and signs part (``i - d - i``) one blank apart."""
+    starts, ends, first = textscan.spans(((buf >= 97) & (buf <= 122)) | (buf >= 128), offsets)
+    if len(starts) < 2:
+        return buf, offsets
+    single = (ends - starts == 1) & (buf[starts] < 128)
+    blanks = np.concatenate([[0], np.cumsum((buf == 32) | ((buf >= 9) & (buf <= 13)), dtype=np.int32)])
+    pair = single[1:] & single[:-1] & (blanks[starts[1:]] > blanks[ends[:-1]])
+    heads = first[(first > 0) & (first < len(starts))]
+    pair[heads - 1] = False
+    k = np.flatnonzero(pair)
+    if not len(k):
+        return buf, offsets
+    buf = buf.copy()
+    buf[ends[k]] = 32
+    tail, head = k[~np.isin(k + 1, k)] + 1, k[~np.isin(k - 1, k)]
+    row_of = lambda at: np.searchsorted(offsets, at, "right")
+    after, before = ends[tail], starts[head] - 1
+    after = after[(after < offsets[-1]) & (row_of(np.minimum(after, offsets[-1] - 1)) == row_of(starts[tail]))]
+    before = before[(before >= offsets[0]) & (row_of(before) == row_of(starts[head]))]
+    buf[after], buf[before] = 32, 32
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[ends[k] + 1] += 1
+    step[starts[k + 1]] -= 1
+    gone = np.cumsum(step[:-1], dtype=np.int8) > 0
+    lost = np.concatenate([[0], np.cumsum(gone, dtype=np.int64)])
+    return buf[~gone], offsets - lost[offsets]
+
+
 def windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letter classes of each unit in rows of WIDTH; longer units take several overlapping rows.  Also each row's unit."""
     lens = ends - starts
@@ -100,7 +131,12 @@ class _Bags:
 
     def __init__(self, texts: list[str]):
         buf, offsets = textscan.column_bytes(pa.array(texts, pa.string()))
-        buf = textscan.lower_ascii(buf)
+        done, sizes = [np.zeros(0, np.uint8)], [0]
+        for lo, hi in textscan.row_chunks(offsets, 1 << 19):
+            piece, at = closed_up(textscan.lower_ascii(buf[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo])
+            done.append(piece)
+            sizes += np.diff(at).tolist()
+        buf, offsets = np.concatenate(done), np.cumsum(np.asarray(sizes, np.int64))
         index = textscan.HashIndex()
         starts, ends, docs, found = [], [], [], []
         for lo, hi in textscan.row_chunks(offsets, 1 << 19):
@@ -182,12 +218,14 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
     odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / (clean.sum() + 1))
     _, who = bags.worst(odds)
     rng = np.random.default_rng(0)
-    calm = np.flatnonzero(in_clean > 0)
+    spread = np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5))
+    apart = (in_clean == 0) | ((odds >= ODDS) & (odds >= SURE * spread))
+    calm = np.flatnonzero(~apart)
     negatives = np.unique(np.concatenate([calm[np.argsort(-in_clean[calm], kind="stable")[:2000]], rng.permutation(calm)[:4000]]))
     model = {}
     for _ in range(ROUNDS):
         positives, times = np.unique(who[toxic & (who >= 0)], return_counts=True)
-        times, positives = times[in_clean[positives] == 0], positives[in_clean[positives] == 0]
+        times, positives = times[apart[positives]], positives[apart[positives]]
         if not len(positives) or not len(negatives):
             return {"constant": float(share)}
         marks = np.concatenate([positives[np.argsort(-times, kind="stable")[: LANDMARKS // 2]], rng.permutation(negatives)[: LANDMARKS // 2]])
@@ -204,8 +242,8 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         table[np.array([c for c in range(_CELLS) if not (c & 31 and c >> 5 & 31 and c >> 10)])] = 0
         score = unit_scores(bags.buf, bags.starts, bags.ends, table, bias)
         model = {"weights": table, "bias": bias}
-        _, who = bags.worst(score + 0.1 * np.minimum(odds, 3) * (in_clean == 0))
-        _, hard = bags.worst(np.where(in_clean > 0, score, -np.inf))
+        _, who = bags.worst(score + 0.1 * np.minimum(odds, 3) * apart)
+        _, hard = bags.worst(np.where(apart, -np.inf, score))
         negatives = np.unique(np.concatenate([negatives, hard[clean & (hard >= 0)], calm[np.argsort(-score[calm], kind="stable")[:1500]]]))
     worst, _ = bags.worst(score)
     worst = np.maximum(worst, model["bias"])
@@ -245,8 +283,8 @@ def _text_scores(texts: pa.Array, broadcast) -> np.ndarray:
     out = [np.zeros(0)]
     with np.errstate(over="ignore"):
         for lo, hi in textscan.row_chunks(offsets):
-            b = textscan.lower_ascii(buf[offsets[lo] : offsets[hi]])
-            starts, ends, first = units(b, offsets[lo : hi + 1] - offsets[lo])
+            b, at = closed_up(textscan.lower_ascii(buf[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo])
+            starts, ends, first = units(b, at)
             worst = np.full(hi - lo, model["bias"])
             np.maximum.at(worst, np.repeat(np.arange(hi - lo), np.diff(first)), known.get(b, starts, ends, model))
             out.append(1 / (1 + np.exp(-np.clip(model["slope"] * worst + model["shift"], -700, 700))))
