@@ -95,9 +95,9 @@ def later_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     named = None
     for k, ranks in enumerate(suffix_ranks(active, most) if most else []):
         some = runs.where((F.col("n") >= 2**k) & (F.col("n") < 2 ** (k + 1)))
-        one = ranks.select(*_AT, F.col("idx").alias("first"), F.col("rank").alias("r1"))
-        two = ranks.select(*_AT, F.col("idx").alias("second"), F.col("rank").alias("r2"))
-        part = some.withColumn("second", F.col("first") + F.col("n") - 2**k).join(one, [*_AT, "first"]).join(two, [*_AT, "second"])
+        one = ranks.select("key", F.col("idx").alias("first"), F.col("rank").alias("r1"))
+        two = ranks.select("key", F.col("idx").alias("second"), F.col("rank").alias("r2"))
+        part = some.withColumn("second", F.col("first") + F.col("n") - 2**k).join(one, ["key", "first"]).join(two, ["key", "second"])
         part = part.select("kind", *_AT, "first", "n", "r1", "r2")
         named = part if named is None else named.unionByName(part)
     if named is None:
@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     slim = renamed(docs, {"doc_id": id_col, "text": text_col})
     lines, deleted = later_copies(slim, min_words)
     gone = deleted.withColumn("idx", F.explode(F.sequence("first", "last"))).withColumn("opens", (F.col("idx") == F.col("first")).cast("int"))
-    gone = lines.join(gone.select(*_AT, "idx", "opens"), [*_AT, "idx"])
+    gone = lines.join(gone.select("key", "idx", "opens"), ["key", "idx"])
     per_doc = gone.groupBy("key").agg(F.collect_list("raw").alias("__gone"), F.sum("opens").alias("__runs"), F.sum("words").alias("__words"))
     parts = _lines(F.col(f"`{text_col}`"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.element_at(parts, i + 1))
