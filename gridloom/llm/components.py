@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _print(e)
     while before["n"]:
-        e = stored(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        last, e = e, stored(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        discard(last)
         now = _print(e)
         if now == before:
             break
