@@ -15,12 +15,14 @@ Plan
 3. Suffixes with equal ranks are an interval of the suffix array whose common prefix is at least that long.  Every
    repeated run of enough words is the union of its shortest sufficient runs, read forward from a line or
    backward from it; each of those is named by its length and the ranks of the two blocks that cover
-   it.  All but the first of a name are later copies.
+   it.  All but the first of a name are later copies.  The ranks of a level are the suffix array's order by that many
+   lines; the whole array and its common-prefix lengths are not written out, as the runs need intervals of one length each.
 4. The copies' lines, merged to maximal runs, leave the texts.
 
 Defined results: null and empty texts have no lines and stay as they are; rows equal in id and
 text count as one and get equal results; rows with equal ids and other texts are ordered by the texts'
-hashes; null ids come first; an empty table gives no rows; other columns are kept as they are.
+hashes; null ids come first; an empty table gives no rows; other columns are kept as they are, except that one named like
+an added column (``ADDED``) is replaced; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -42,7 +44,9 @@ def _lines(text: Column) -> Column:
 def line_ids(docs: DataFrame) -> DataFrame:
     """doc_id, key, idx (among non-blank lines), raw (among all), line (its id), words."""
     numbered = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("raw"), F.btrim(x, F.lit(_BLANK)).alias("line")))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("idx", "x"))
+    # The key is made below the generator: above it, the whole text would be hashed again for every line.
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.filter(numbered, lambda x: x["line"] != "").alias("lines"))
+    rows = keyed.select("doc_id", "key", F.posexplode("lines").alias("idx", "x"))
     return rows.select("doc_id", "key", "idx", F.col("x.raw").alias("raw"), F.xxhash64("x.line").alias("line"), F.size(F.split("x.line", r"[\x20\x09-\x0D]+")).alias("words")).distinct()
 
 
@@ -72,11 +76,12 @@ def shortest_runs(stretches: DataFrame, min_words: int) -> DataFrame:
     """kind, doc_id, key, first, n: from each line the shortest forward (0) and backward (1) run of enough words."""
     own = Window.partitionBy(*_AT, "stretch")
     rows = stretches.withColumn("end", F.sum("words").over(own.orderBy("idx"))).withColumn("begin", F.col("end") - F.col("words"))
-    rows = rows.withColumn("first_idx", F.min("idx").over(own)).withColumn("last_idx", F.max("idx").over(own)).withColumn("total", F.max("end").over(own))
-    past = F.min("idx").over(own.orderBy("begin").rangeBetween(min_words, Window.unboundedFollowing))
-    stop = F.coalesce(past - 1, F.when(F.col("total") - F.col("begin") >= min_words, F.col("last_idx")))
-    before = F.max("idx").over(own.orderBy("end").rangeBetween(Window.unboundedPreceding, -min_words))
-    start = F.coalesce(before + 1, F.when(F.col("end") >= min_words, F.col("first_idx")))
+    rows = rows.withColumn("total", F.max("end").over(own))
+    # Every line has a word, so frames of ``min_words`` words hold no more lines than that.
+    within = F.max("idx").over(own.orderBy("begin").rangeBetween(0, min_words - 1))  # the last line that begins in reach
+    stop = F.when(F.col("total") - F.col("begin") >= min_words, within)
+    since = F.min("idx").over(own.orderBy("end").rangeBetween(1 - min_words, 0))  # the first line that ends in reach
+    start = F.when(F.col("end") >= min_words, since)
     rows = rows.withColumn("stop", stop).withColumn("start", start)
     both = rows.select(*_AT, F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("idx").alias("first"), F.col("stop").alias("last")), F.struct(F.lit(1).alias("kind"), F.col("start").alias("first"), F.col("idx").alias("last")))).alias("x"))
     both = both.select(*_AT, "x.kind", "x.first", (F.col("x.last") - F.col("x.first") + 1).alias("n"))
@@ -114,6 +119,10 @@ def later_copies(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]
     return lines, stored(grouped.groupBy(*_AT, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run"), "deleted")
 
 
+#: Columns that ``dedup_lines`` adds; an input column of such a name is replaced.
+ADDED = ("n_lines", "n_removed", "n_runs", "removed_words")
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with later copies gone from the text, and n_lines, n_removed, n_runs, removed_words beside it."""
     slim = renamed(docs, {"doc_id": id_col, "text": text_col})
@@ -122,12 +131,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = lines.join(gone.select("key", "idx", "opens"), ["key", "idx"])
     per_doc = gone.groupBy("key").agg(F.collect_list("raw").alias("__gone"), F.sum("opens").alias("__runs"), F.sum("words").alias("__words"))
     parts = _lines(F.col(f"`{text_col}`"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda i: F.element_at(parts, i + 1))
+    # The lines are bound to a variable, so that the text is split once, not once for every line.
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("__gone")), lambda i: F.element_at(p, i + 1)), "\n"))[0]
     rows = docs.withColumn("__key", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(per_doc.withColumnRenamed("key", "__key"), "__key", "left")
     out = rows.withColumn("n_lines", F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
     out = out.withColumn("n_runs", F.coalesce("__runs", F.lit(0)).cast("long")).withColumn("removed_words", F.coalesce("__words", F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n")))
+    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept))
     return out.drop("__key", "__gone", "__runs", "__words")
 
 
