@@ -6,13 +6,15 @@ Plan
    band keys.  Texts with equal sets are one class, named by its smallest doc_id.
 2. Band keys of class representatives meet in buckets.  Every bucket member is compared
    with the bucket's smallest member on full sets; the links found are joined to components.
-3. Buckets that still hold several components are compared completely: their members
-   are dealt to blocks, every pair of blocks is one group, and only a spanning forest of the
-   links found there leaves the group.  So no list of all pairs of a large group ever exists and
-   none of its pairs is skipped.
+3. Buckets that still hold several components are compared completely across components: a
+   component as large as a block has blocks of its own, smaller ones share blocks; every pair of blocks
+   that can hold two components is one group, and only a spanning forest of the links found there leaves the
+   group.  So no list of all pairs of a large group ever exists, none of its open pairs is skipped, and a
+   large component beside a few strangers costs its size, not its square.  A block is bounded by rows and by shingles.
 4. Components of all links; every document gets its class's component.
 
-With 30 bands of 6 rows a pair at similarity 0.85 shares no band with probability 7e-7.
+Bands and rows follow from the similarity (``banding``): a pair exactly at it shares no band with
+probability 7e-7 at 0.85 (30 bands of 6) and 6e-7 at 0.80 (36 bands of 5).
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and stay;
 a text of fewer words than a shingle has one shingle, the whole sequence; rows that share a doc_id are
@@ -26,19 +28,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import superminhash, textscan
-from .common import renamed, stored, table, tidy
+from .common import discard, renamed, stored, table, tidy
 from .components import connected_components
 
-ROWS, BANDS = 6, 30
-#: Members of a block; a group of step 3 holds two blocks.
-BLOCK = 256
+#: Places of a signature, and the share of links at the least similarity that banding may miss.
+PLACES, MISSED = 180, 1e-6
+#: Members of a block, and its shingles (a longer text is a block alone); a group of step 3 holds two blocks.
+BLOCK, WEIGHT = 256, 1 << 18
 _WORDS = tuple(np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0x91E10DA5C79E7B1D, 0xD1B54A32D192ED03))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows of a band and number of bands: the longest bands that miss at most ``MISSED`` of the links at ``percent``."""
+    for rows in range(6, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (PLACES // rows) <= MISSED:
+            return rows, PLACES // rows
+    return 1, PLACES
+
+
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every row."""
     for lo, hi in textscan.row_chunks(offsets):
@@ -131,72 +142,84 @@ def _forest(key, left, percent: int):
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def _groups(tagged: DataFrame) -> DataFrame:
+    """band, p, q, side, id, comp: the members of every pair of blocks (p <= q) that can hold two components."""
+    open_ = (
+        tagged.groupBy("band")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
+        .where("lo < hi")
+        .groupBy("k", "who")  # buckets of the same members are compared once
+        .agg(F.min("band").alias("band"))
+        .select("band")
+    )
+    inside = stored(tagged.join(open_, "band").select("band", "rep", "n", "comp"), "open")
+    needs = lambda: F.greatest(F.ceil(F.sum("k") / BLOCK), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+    shares = inside.groupBy("band", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    shares = shares.withColumn("pure", (F.col("k") >= BLOCK) | (F.col("n") >= WEIGHT)).withColumn("owner", F.when(F.col("pure"), F.col("comp")).otherwise(0))
+    owners = shares.groupBy("band", "pure", "owner").agg(needs().alias("blocks"))
+    ahead = Window.partitionBy("band").orderBy("pure", "owner").rowsBetween(Window.unboundedPreceding, -1)  # a row a block at most
+    layout = owners.withColumn("start", F.coalesce(F.sum("blocks").over(ahead), F.lit(0)).cast("int")).withColumn("total", F.sum("blocks").over(Window.partitionBy("band")).cast("int"))
+    placed = stored(shares.select("band", "comp", "pure", "owner").join(layout, ["band", "pure", "owner"]).drop("owner"), "layout")
+    last = F.col("start") + F.col("blocks")
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda j: ~F.col("pure") | (j < F.col("start")) | (j >= last))
+    dealt = (
+        inside.join(placed, ["band", "comp"])
+        .withColumn("block", F.col("start") + F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(others))
+    )
+    return dealt.select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), F.col("rep").alias("id"), "comp")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, rows: int | None = None, bands: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest linked doc_id) and kept.
 
     Two documents are linked when 100 * intersection >= percent * union of their
     distinct ``words``-word shingles, confirmed on the full sets.
     """
+    if rows is None or bands is None:
+        rows, bands = banding(percent)
     docs = renamed(docs, {"doc_id": id_col, "text": text_col}).withColumn("doc_id", F.col("doc_id").cast("long"))
     prints = stored(docs.mapInArrow(lambda it: tidy(_prints(it, words, rows, bands)), "doc_id long, n long, h1 long, h2 long, bands array<long>"), "prints")
     known = prints.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("copies"))
+    same = ["n", "h1", "h2"]
+    copied = stored(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "copied")
+    classes = known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     members = stored(classes.select("rep", "n", F.explode("bands").alias("band")), "bands")
     buckets = members.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("size")).where("size > 1")
     entries = stored(members.join(buckets, "band").select("band", "rep", "n", "centre", "size"), "buckets")
+    discard(members)
 
     wanted = entries.select(F.col("rep").alias("doc_id")).distinct()
     sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: tidy(_sets(it, words)), "id long, grams array<long>"), "sets")
-    sized = sets.select("id", "grams")
     pairs = entries.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     linked = (
-        pairs.join(sized.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-        .join(sized.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
         .where(100 * F.least(F.size("ga"), F.size("gb")) >= percent * F.greatest(F.size("ga"), F.size("gb")))
         .withColumn("both", F.size(F.array_intersect("ga", "gb")))
         .where(100 * F.col("both") >= percent * (F.size("ga") + F.size("gb") - F.col("both")))
         .select("a", "b")
     )
-    # Texts of one doc_id, and classes that a doc_id shares, belong together.
-    shared = known.join(classes.where("copies > 1").select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     links = stored(linked, "links")
     first = stored(connected_components(links), "components")
 
     tagged = entries.where("size > 2").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_ = (
-        tagged.groupBy("band")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"))
-        .where("lo < hi")
-        .groupBy("k", "who")
-        .agg(F.min("band").alias("band"))
-        .select("band", "k")
-    )
-    dealt = (
-        tagged.join(open_, "band")
-        .withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") > F.col("other")).cast("int").alias("side"), F.col("rep").alias("id"), "comp")
-    )
-    groups = dealt.join(sized, "id")
+    groups = _groups(tagged).join(sets, "id")
 
     def forest(key, rows):
         return _forest(key, rows, percent)
 
-    rest = groups.groupBy("band", "p", "q").applyInPandas(forest, "a long, b long")
-    edges = links.unionByName(stored(rest, "links"))
-    doubled = known.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("a"))
-    edges = edges.unionByName(shared.join(doubled, "a", "left_semi"))
-    final = connected_components(edges)
-
-    named = (
-        prints.select("doc_id", "n", "h1", "h2")
-        .join(classes.where("copies > 1").select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left")
-        .withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-        .join(final.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component_id", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")))
-    )
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    rest = stored(groups.groupBy("band", "p", "q").applyInPandas(forest, "a long, b long"), "links")
+    discard(entries, sets, first)
+    # Texts of one doc_id, and classes that a doc_id shares, belong together.
+    doubled = known.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id")
+    shared = known.select("doc_id", *same).join(doubled, "doc_id", "left_semi").join(copied, same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    final = connected_components(links.unionByName(rest).unionByName(shared))
+
+    named = known.select("doc_id", *same).join(copied, same, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    named = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
+    alone = prints.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
