@@ -11,7 +11,8 @@ Plan
 2. The grams go to the executors in slices of at most ``SLICE`` grams, dealt by the last two
    bytes of their contexts (plus the short contexts, at most 2**24 grams, which every slice needs).
    A position is scored by the slice that owns its context, so the slices' sums add up exactly and the memory
-   of driver and executors is bounded by one slice.
+   of driver and executors is bounded by one slice.  Where there are several, a task holds ``HOLD`` bytes of
+   texts and builds every slice's tree once for all of them.
 3. The second scan scores the texts.  Counts of the ``FREQUENT`` most frequent words are
    at hand there; the other words of a document leave as distinct (word, times) and meet their
    counts in a shuffled join, with no limit to the vocabulary.
@@ -31,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ppm, textscan
-from .common import Latest, crc_bucket, renamed, stored, table
+from .common import Latest, crc_bucket, renamed, stored, table, tidy
 
 ORDER, SLICE, FREQUENT = 5, 4_000_000, 1 << 17
+#: Bytes of texts that a task holds while the slices take turns.
+HOLD = 1 << 26
 _built = Latest()
 
 
@@ -117,48 +120,67 @@ def _slices(grams: DataFrame, order: int, limit: int) -> list[np.ndarray]:
     return slices
 
 
-def _score(batches: Iterator[pa.RecordBatch], order: int, models: list, frequent, seen_at_all: bool) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Groups of (batch, its runs of rows) with about ``most`` bytes of texts each."""
+    held, size = [], 0
+    for batch in batches:
+        runs = list(_texts(batch))
+        held.append((batch, runs))
+        size += sum(len(norm) for _, _, norm, *_ in runs)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _score(batches: Iterator[pa.RecordBatch], order: int, models: list, frequent, seen_at_all: bool, hold: int = HOLD) -> Iterator[pa.RecordBatch]:
+    """Each slice's tree is built once for all texts that are held, not for every run of rows; the last one built serves the next group first."""
     from pyspark import TaskContext
 
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     words, times = _unpacked(frequent.value)
     index, log_c = textscan.HashIndex(words), np.log10(times + 1.0)
+    turn = list(enumerate(models))
     with np.errstate(over="ignore"):
-        for batch in batches:
-            bits, n_tokens, known, total, rare, rare_n, size = [], [], [], [], [], [], []
-            for lo, hi, norm, at, hashes, first in _texts(batch):
-                sums = np.zeros(hi - lo)
-                for i, (bc, own) in enumerate(models):
-                    tree = _built.get(bc, lambda parts: ppm.ContextTree(*_unpacked(parts), order), i)
-                    sums += tree.costs(norm, at, own if len(models) > 1 else None)
-                bits.append(sums)
-                n = np.diff(first)
-                n_tokens.append(n + 1)
-                at_ = index.get(hashes)
-                hit = at_ >= 0
-                row = np.repeat(np.arange(hi - lo), n)
-                known.append(np.bincount(row[hit], minlength=hi - lo) + int(seen_at_all))
-                total.append(np.bincount(row[hit], log_c[at_[hit]], hi - lo).astype(np.float64))
-                left_row, left = row[~hit], hashes[~hit]
-                o = np.lexsort((left, left_row))
-                left_row, left = left_row[o], left[o]
-                new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (left_row[1:] != left_row[:-1])])) if len(left) else np.zeros(0, np.int64)
-                rare.append(left[new].view(np.int64))
-                rare_n.append(np.diff(np.concatenate([new, [len(left)]])))
-                size.append(np.bincount(left_row[new], minlength=hi - lo))
-            if not bits:
-                continue
-            cat = np.concatenate
-            edges = pa.array(cat([[0], np.cumsum(cat(size))]), pa.int32())
-            rid = base + np.arange(len(batch), dtype=np.int64)
-            base += len(batch)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rid), batch["doc_id"], batch["held_out"], pa.array(cat(n_tokens).astype(np.int64)), pa.array(cat(known).astype(np.int64)), pa.array(cat(total)), pa.array(-cat(bits) * np.log10(2.0)),
-                    pa.ListArray.from_arrays(edges, pa.array(cat(rare))), pa.ListArray.from_arrays(edges, pa.array(cat(rare_n).astype(np.int32))),
-                ],
-                ["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "times"],
-            )
+        for held in _held(batches, hold if len(models) > 1 else 1):
+            bits = [np.zeros(len(batch)) for batch, _ in held]
+            for i, (bc, own) in turn:
+                tree = _built.get(bc, lambda parts: ppm.ContextTree(*_unpacked(parts), order), i)
+                for out, (_, runs) in zip(bits, held, strict=True):
+                    for lo, hi, norm, at, *_ in runs:
+                        out[lo:hi] += tree.costs(norm, at, own if len(models) > 1 else None)
+            turn.reverse()
+            for out, (batch, runs) in zip(bits, held, strict=True):
+                if not len(batch):
+                    continue
+                n_tokens, known, total, rare, rare_n, size = [], [], [], [], [], []
+                for lo, hi, _, _, hashes, first in runs:
+                    n = np.diff(first)
+                    n_tokens.append(n + 1)
+                    at_ = index.get(hashes)
+                    hit = at_ >= 0
+                    row = np.repeat(np.arange(hi - lo), n)
+                    known.append(np.bincount(row[hit], minlength=hi - lo) + int(seen_at_all))
+                    total.append(np.bincount(row[hit], log_c[at_[hit]], hi - lo).astype(np.float64))
+                    left_row, left = row[~hit], hashes[~hit]
+                    o = np.lexsort((left, left_row))
+                    left_row, left = left_row[o], left[o]
+                    new = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (left_row[1:] != left_row[:-1])])) if len(left) else np.zeros(0, np.int64)
+                    rare.append(left[new].view(np.int64))
+                    rare_n.append(np.diff(np.concatenate([new, [len(left)]])))
+                    size.append(np.bincount(left_row[new], minlength=hi - lo))
+                cat = np.concatenate
+                edges = pa.array(cat([[0], np.cumsum(cat(size))]), pa.int32())
+                rid = base + np.arange(len(batch), dtype=np.int64)
+                base += len(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rid), batch["doc_id"], batch["held_out"], pa.array(cat(n_tokens).astype(np.int64)), pa.array(cat(known).astype(np.int64)), pa.array(cat(total)), pa.array(-out * np.log10(2.0)),
+                        pa.ListArray.from_arrays(edges, pa.array(cat(rare))), pa.ListArray.from_arrays(edges, pa.array(cat(rare_n).astype(np.int32))),
+                    ],
+                    ["rid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "rare", "times"],
+                )
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER, slice_grams: int = SLICE, frequent: int = FREQUENT) -> DataFrame:
@@ -191,7 +213,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>, times array<int>"
     some = texts > 0
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    scored = stored(docs.mapInArrow(lambda it: _score(it, order, models, known, some), schema), "scored")
+    scored = stored(docs.mapInArrow(lambda it: tidy(_score(it, order, models, known, some)), schema), "scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(words, "key").groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
     every = float(np.log10(tokens + distinct + 1))

@@ -186,10 +186,10 @@ class ContextTree:
             nodes = keys[first] >> _U8
             owner = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(keys)]])))
             n = np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64)
-            q = np.bincount(owner, minlength=len(first))
+            q = np.bincount(owner, minlength=len(first)).astype(np.int16)
             level = {"grams": HashIndex(_node_key(keys, k)), "nodes": HashIndex(_node_key(nodes, k)), "c": c.astype(np.float32), "n": n, "q": q, "keys": keys}
             if above is not None:
-                level["parent"] = np.searchsorted(above["sorted"], nodes & ContextRows._mask(k - 1))
+                level["parent"] = np.searchsorted(above["sorted"], nodes & ContextRows._mask(k - 1)).astype(np.int32)
                 shared = above["c"][np.searchsorted(above["keys"], keys & ContextRows._mask(k))]
                 level["ln"] = above["n"][level["parent"]] - np.bincount(owner, shared, len(first)).astype(np.int64)
                 level["lq"] = above["q"][level["parent"]] - q
