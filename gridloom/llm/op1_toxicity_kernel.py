@@ -3,7 +3,8 @@
 Kernel: a unit (a word, or a run of single letters parted by blanks and signs) is described by all its
 subsequences of three letters with at most two characters inserted between neighbours, each
 weighted by DECAY ** span; digits, signs and punctuation match nothing and only widen a gap, so
-``i-d*i.o t`` stays near ``idiot``.  The kernel of two units is the normalised inner product.
+``i-d*i.o t`` stays near ``idiot``.  The kernel of two units is the normalised inner product.  A unit of more than
+``WIDTH`` letters counts as its overlapping windows, in training as in scoring.
 
 Training: documents carry the labels; a document is a bag of sentences, a sentence scores as its worst
 unit.  The landmarks are frequent witnesses of toxic bags and units of clean ones; the first witnesses are the
@@ -19,7 +20,8 @@ the scan has no shuffle, and whole texts count.
 
 Defined results: texts without any unit (null, empty) get the score of the lowest possible unit; without
 labels of both classes every score is the share of toxic labels (0 without labels); rows with a null id are not
-held out; labels that disagree on one id count as toxic; an empty table gives no rows.
+held out; labels that disagree on one id count as toxic; repeated rows and ties score alike; an empty table gives no
+rows; columns besides the named ones are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -90,6 +92,16 @@ def closed_up(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return buf[~gone], offsets - lost[offsets]
 
 
+def spread_out(starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units' spans with longer ones divided into the overlapping windows that scoring sees."""
+    half = WIDTH // 2
+    count = np.maximum(-(-(ends - starts - half) // half), 1)
+    before = np.concatenate([[0], np.cumsum(count)])
+    unit = np.repeat(np.arange(len(starts)), count)
+    begin = starts[unit] + (np.arange(len(unit)) - before[unit]) * half
+    return begin, np.minimum(begin + WIDTH, ends[unit]), before[first]
+
+
 def windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Letter classes of each unit in rows of WIDTH; longer units take several overlapping rows.  Also each row's unit."""
     lens = ends - starts
@@ -127,7 +139,7 @@ def unit_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights:
 
 
 class _Bags:
-    """Distinct units of a sample and the documents they stand in."""
+    """Distinct units (windows of longer ones) of a sample and the documents they stand in."""
 
     def __init__(self, texts: list[str]):
         buf, offsets = textscan.column_bytes(pa.array(texts, pa.string()))
@@ -141,7 +153,7 @@ class _Bags:
         starts, ends, docs, found = [], [], [], []
         for lo, hi in textscan.row_chunks(offsets, 1 << 19):
             piece = buf[offsets[lo] : offsets[hi]]
-            a, z, first = units(piece, offsets[lo : hi + 1] - offsets[lo])
+            a, z, first = spread_out(*units(piece, offsets[lo : hi + 1] - offsets[lo]))
             keys = textscan.span_hashes(piece, a, z)
             new, where = np.unique(keys, return_index=True)
             fresh = index.get(new) < 0
@@ -168,8 +180,8 @@ class _Bags:
         return best, who
 
     def dense(self, which: np.ndarray) -> np.ndarray:
-        """Explicit feature vectors (units cut at WIDTH), a row each."""
-        x, unit = windows(self.buf, self.starts[which], np.minimum(self.ends[which], self.starts[which] + WIDTH))
+        """Explicit feature vectors, a row each."""
+        x, unit = windows(self.buf, self.starts[which], self.ends[which])
         cells, w = features(x)
         out = np.zeros((len(which), _CELLS), np.float32)
         np.add.at(out, (unit[:, None], cells), w)
