@@ -1,8 +1,24 @@
+import os
+import re
+
 import corpus_pipeline as c
 import pytest
-from test_operators import brute_groups, documents
+from test_operators import LOW, brute_groups, documents
+
+from gridloom.llm import op1_toxicity_kernel
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def grams(text, n=10):
+    w = TERM.findall((text or "").translate(LOW))
+    return {tuple(w[i : i + n]) for i in range(max(len(w) - n, 0) + 1)} if w else set()
+
 
-from gridloom.llm import op1_toxicity_kernel, op6_positional_index
+def holds(text, windows):
+    """Whether a window stands in the text, by plain comparison of its runs of words."""
+    w = TERM.findall((text or "").translate(LOW))
+    return any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
 
 
 def test_stage_decisions(spark, sf_dir):
@@ -15,22 +31,50 @@ def test_stage_decisions(spark, sf_dir):
     groups = brute_groups([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
     assert sorted(r.doc_id for r in one.collect()) == sorted(i for i, g in groups.items() if i == g)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = {r.doc_id for r in c.decontamination(spark, docs, sf_dir).collect()}
-    assert clean == {r.doc_id for r in op6_positional_index.decontaminate(docs, bench).where("not contaminated").collect()}
+    clean = sorted(r.doc_id for r in c.decontamination(spark, docs, sf_dir).collect())
+    windows = {g for r in bench.collect() for g in grams(r.text)}
+    assert clean == sorted(r.doc_id for r in docs.collect() if not holds(r.text, windows)) and len(clean) < docs.count()
     mixed = [r.doc_id for r in c.mixing(spark, docs, sf_dir).collect()]
     assert set(mixed) == {r.doc_id for r in docs.collect()} and max(mixed.count(i) for i in set(mixed)) <= 2
 
 
+def test_toxicity_stage_is_the_threshold(spark, sf_dir):
+    """Labelled toxic rows go and labelled clean ones stay, whatever the operator says of itself (sf0.001 has 11 toxic labels, too few)."""
+    sf_dir = f"{os.path.dirname(sf_dir)}/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    kept = {r.doc_id for r in c.toxicity(spark, docs, sf_dir).collect()}
+    bad, good = [i for i, t in label.items() if t == 1], [i for i, t in label.items() if t == 0]
+    assert sum(i not in kept for i in bad) >= 0.8 * len(bad) and sum(i in kept for i in good) >= 0.8 * len(good)
+
+
+def test_each_row_has_its_own_decision(spark, sf_dir):
+    item = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    long = " ".join(f"alpha{i}" for i in range(40))
+    rows = [(1, f"some words before {item}", "en", "a", 0), (1, "a clean text with the same id as another", "en", "a", 0), (None, item, "en", "a", 0), (None, "a clean text without an id", "en", "a", 0), (2, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r.text) for r in c.decontamination(spark, docs, sf_dir).collect()) == ["None", "a clean text with the same id as another", "a clean text without an id"]
+    rows = [(7, long, "en", "a", 0), (3, long, "en", "b", 0), (None, long, "en", "a", 0), (3, "a text of its own", "en", "a", 0), (None, "", "en", "a", 0), (None, "", "en", "a", 0), (9, "twice the same row", "en", "a", 0), (9, "twice the same row", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    for _ in range(2):
+        kept = sorted((repr(r.doc_id), r.text, r.source) for r in c.near_duplicates(spark, docs.repartition(5), sf_dir).collect())
+        assert kept == sorted([("3", long, "b"), ("3", "a text of its own", "a"), ("None", "", "a"), ("None", "", "a"), ("9", "twice the same row", "a")])
+
+
 def test_run(spark, sf_dir):
     out = c.run(spark, sf_dir)
-    assert out.count() > 0 and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(out.columns)
+    rows = sorted((r.start, r.n_tokens, r.doc_id) for r in out.collect())
+    assert rows and {"doc_id", "start", "n_tokens", "ids_crc32"} <= set(out.columns)
+    assert rows[0][0] == 0 and all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(rows, rows[1:], strict=False))
 
 
 @pytest.mark.parametrize("rows", ["true", "false"])
 def test_odd_rows_pass_all_stages(spark, sf_dir, rows):
     docs = documents(spark, clash=False).where(rows)
+    texts = {r.text for r in docs.collect()}
     for name, stage in c.STAGES:
         out = stage(spark, docs, sf_dir)
         assert name == "tokens" or out.columns == docs.columns
-        docs = out
-    assert docs.count() >= 0
+        docs, before = out, docs
+    assert {r.text for r in before.collect()} <= texts and docs.count() == before.count()
+    assert (docs.count() > 0) == (rows == "true")
