@@ -4,46 +4,50 @@ Every stage takes (spark, docs, sf_dir) and works on all rows it is given; all b
 ``documents``.  ``run`` writes each stage's rows as Parquet to the shared folder and reads them again.
 
 1. toxicity: rows that the string-kernel classifier rejects go; all others stay.
-2. near_duplicates: of each group of texts linked at similarity 0.8 on five-word shingles one document stays.
-3. decontamination: documents that hold a benchmark window of ten words go.
+2. near_duplicates: of each group of texts linked at similarity 0.8 on five-word shingles one row stays, the one with
+   the least doc_id (rows without an id come last; ties go by a hash of the row).  Rows equal in every column are copies too;
+   texts without words link with nothing and all stay.
+3. decontamination: rows that hold a benchmark window of ten words go.
 4. mixing: rows are repeated so that the sources approach the target weights; each row appears at least
    once, none more than twice.
 5. tokens: the texts' token ids in files; one row per written document.
 
-Rows without an id stay through every stage; an empty table passes through all of them.
+Every row gets its own decision, also one without an id or with an id that other rows have; an empty table passes
+through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import op1_toxicity_kernel, op3_temperature_mix, op6_positional_index, op7_token_output, op9_superminhash
-from gridloom.llm.common import stored, table
+from gridloom.llm.common import discard, stored, table
 
 #: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, verdict: DataFrame, flag: str) -> DataFrame:
-    """Rows of documents whose id the verdicts flag, and rows without an id."""
-    wanted = verdict.where(F.col(flag) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(wanted, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op1_toxicity_kernel.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = op9_superminhash.near_duplicates(docs)
-    one = _keep(docs, judged, "kept")
-    return one.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(one.where("doc_id is null"))
+    keyed = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    judged = op9_superminhash.near_duplicates(keyed, id_col="__row")
+    judged = judged.select(F.col("doc_id").alias("__row"), "component_id", (F.col("n_shingles") == 0).alias("__blank")).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row", "__blank")
+    first = keyed.select("__row", "doc_id").distinct().join(judged, "__row").groupBy("component_id").agg(F.min(place).alias("x"))
+    survivors = stored(first.select("x.__row", "x.__blank"), "survivors")
+    nth = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    return keyed.join(survivors, "__row").withColumn("__nth", nth).where("__nth = 1 or __blank").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = op6_positional_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _keep(docs, judged.withColumn("clean", ~F.col("contaminated")), "clean")
+    judged = op6_positional_index.decontaminate(docs, table(spark, sf_dir, "benchmark"), key_col="__row")
+    bad = stored(judged.where("contaminated").select("__row").distinct(), "contaminated")
+    keyed = docs.withColumn("__row", op6_positional_index.row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,10 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decont
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
