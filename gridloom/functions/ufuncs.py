@@ -33,16 +33,22 @@ def _divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).when(b.isNull() | a.isNull(), None).when(F.isnan(a) | (a == 0), NAN).otherwise(F.signum(a) * F.when(b.cast("string") == "-0.0", -INF).otherwise(INF))
 
 
-def _floor_divide(a: Column, b: Column) -> Column:
-    """Toward minus infinity; 0 for a zero divisor, like integer arrays.  Double division is exact up to 2**53."""
-    return F.when(b == 0, 0).otherwise(F.floor(_d(a) / F.nullif(_d(b), F.lit(0.0))))
-
-
 def _remainder(a: Column, b: Column) -> Column:
     r = a % F.nullif(b, F.lit(0))
     return F.when(b == 0, 0).when((r != 0) & ((r < 0) != (b < 0)), r + b).otherwise(r)
 
 
+def _floor_divide(a: Column, b: Column) -> Column:
+    """Toward minus infinity; 0 for a zero divisor, like integer arrays.  Exact for all 64-bit operands.
+
+    ``a`` less the remainder is a multiple of ``b``; what double division misses of the quotient is a
+    multiple too, and small enough to be divided exactly.
+    """
+    whole = a - _remainder(a, b)
+    near = lambda x: F.floor(_d(x) / F.nullif(_d(b), F.lit(0.0)) + 0.5)
+    return F.when(b == 0, 0).otherwise(near(whole) + near(whole - near(whole) * b))
+
+
 def _propagate(pick: Callable[..., Column]) -> Callable[[Column, Column], Column]:
     return lambda a, b: F.when(F.isnan(_d(a)) | F.isnan(_d(b)), F.lit(NAN)).otherwise(pick(a, b))
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.scan import cumulative
+
 NAN = float("nan")
 
 
@@ -32,35 +34,40 @@ def product(v) -> Column:
     return F.coalesce(F.product(_col(v)), F.lit(1.0))
 
 
+def _present(x: Column, *fields: Column) -> Column:
+    return F.when(x.isNotNull(), F.struct(*fields))
+
+
 def amin(v) -> Column:
-    x = _col(v).cast("double")
-    return F.when(F.bool_or(F.isnan(x)), NAN).otherwise(F.min(x))
+    """NaN if there is one; the element's own type otherwise, so that whole numbers stay exact."""
+    x = _col(v)
+    return F.min(_present(x, (~F.isnan(x.cast("double"))).alias("n"), x.alias("v")))["v"]
 
 
 def amax(v) -> Column:
-    x = _col(v).cast("double")
-    return F.when(F.bool_or(F.isnan(x)), NAN).otherwise(F.max(x))
+    """NaN if there is one (it is the greatest value in Spark's order); the element's own type."""
+    return F.max(_col(v))
 
 
 def argmin(v, idx) -> Column:
     """Index of the first NaN, else of the first least value."""
-    x = _col(v).cast("double")
-    return F.min(F.struct((~F.isnan(x)).alias("n"), x.alias("v"), _col(idx).alias("i")))["i"]
+    x = _col(v)
+    return F.min(_present(x, (~F.isnan(x.cast("double"))).alias("n"), x.alias("v"), _col(idx).alias("i")))["i"]
 
 
 def argmax(v, idx) -> Column:
-    x = _col(v).cast("double")
-    return F.min(F.struct((~F.isnan(x)).alias("n"), (-x).alias("v"), _col(idx).alias("i")))["i"]
+    x = _col(v)
+    return -F.max(_present(x, x.alias("v"), (-_col(idx)).alias("i")))["i"]
 
 
 def nanargmin(v, idx) -> Column:
-    x = _col(v).cast("double")
-    return F.min(F.when(~F.isnan(x), F.struct(x.alias("v"), _col(idx).alias("i"))))["i"]
+    x = _col(v)
+    return F.min(F.when(~F.isnan(x.cast("double")), F.struct(x.alias("v"), _col(idx).alias("i"))))["i"]
 
 
 def nanargmax(v, idx) -> Column:
-    x = _col(v).cast("double")
-    return F.min(F.when(~F.isnan(x), F.struct((-x).alias("v"), _col(idx).alias("i"))))["i"]
+    x = _col(v)
+    return -F.max(F.when(~F.isnan(x.cast("double")), F.struct(x.alias("v"), (-_col(idx)).alias("i"))))["i"]
 
 
 def mean(v) -> Column:
@@ -137,8 +144,16 @@ def nanmedian(v) -> Column:
 
 
 def percentile(v, q: float) -> Column:
-    """Linear interpolation, the default method."""
-    return F.percentile(_col(v).cast("double"), F.lit(q / 100))
+    """Linear interpolation, the default method; NaN if there is one."""
+    x = _col(v).cast("double")
+    return F.when(F.bool_or(F.isnan(x)), NAN).otherwise(F.percentile(x, F.lit(q / 100)))
+
+
+def percentiles(v, qs: Sequence[float]) -> Column:
+    """Several of them as an array, from one buffer of counted values."""
+    x = _col(v).cast("double")
+    spoiled = F.array(*[F.lit(NAN) for _ in qs])
+    return F.when(F.bool_or(F.isnan(x)), spoiled).otherwise(F.percentile(x, F.array(*[F.lit(q / 100) for q in qs])))
 
 
 def nanpercentile(v, q: float) -> Column:
@@ -174,12 +189,15 @@ def _virtual(n: Column, q: float, method: str) -> tuple[Column, Column]:
 
 
 def quantile(df: DataFrame, v: str, qs: Sequence[float], by: Sequence[str] = (), method: str = "linear") -> DataFrame:
-    """Rows (by…, q, value).  Values are counted first, so ranks are over distinct values of a group only."""
+    """Rows (by…, q, value); NaN for a group that holds one.
+
+    Values are counted first; ranks are one running count over the distinct values of all groups, in ranges, less
+    what the groups before have.  So neither a large group nor a whole table is sorted in one task.
+    """
     by = list(by)
     counts = df.where(F.col(v).isNotNull()).groupBy(*by, F.col(v).cast("double").alias("__v")).agg(F.count("*").alias("__k"))
-    order = Window.partitionBy(*by).orderBy("__v")
-    ranked = counts.withColumn("__hi", F.sum("__k").over(order)).withColumn("__lo", F.col("__hi") - F.col("__k"))
-    sizes = counts.groupBy(*by).agg(F.sum("__k").alias("__n"))
+    running = cumulative(counts, "__k", [*by, "__v"], "__hi")
+    sizes = running.groupBy(*by).agg(F.sum("__k").alias("__n"), F.min(F.col("__hi") - F.col("__k")).alias("__s"), F.bool_or(F.isnan("__v")).alias("__nan"))
     wanted = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     low = share = None
     for q in qs:
@@ -188,16 +206,23 @@ def quantile(df: DataFrame, v: str, qs: Sequence[float], by: Sequence[str] = (),
         low = F.when(here, a) if low is None else low.when(here, a)
         share = F.when(here, g) if share is None else share.when(here, g)
     last = F.col("__n") - 1
-    wanted = wanted.withColumn("__a", F.greatest(F.least(low, last), F.lit(0))).withColumn("__b", F.greatest(F.least(low + 1, last), F.lit(0))).withColumn("__g", share)
-    joined = ranked.join(wanted, by) if by else ranked.crossJoin(F.broadcast(wanted))  # one row a quantile
+    wanted = wanted.withColumn("__a", F.greatest(F.least(low, last), F.lit(0)) + F.col("__s")).withColumn("__b", F.greatest(F.least(low + 1, last), F.lit(0)) + F.col("__s")).withColumn("__g", share)
+    ranked = running.withColumn("__lo", F.col("__hi") - F.col("__k"))
+    if by:  # groups with a null key are groups too
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+        joined = ranked.alias("l").join(wanted.alias("r"), same).select(*[F.col(f"l.{c}").alias(c) for c in by], "l.__v", "l.__lo", "l.__hi", "r.q", "r.__a", "r.__b", "r.__g", "r.__nan")
+    else:
+        joined = ranked.crossJoin(F.broadcast(wanted))  # one row a quantile
     inside = lambda i: (F.col(i) >= F.col("__lo")) & (F.col(i) < F.col("__hi"))
-    picked = joined.where(inside("__a") | inside("__b")).groupBy(*by, "q").agg(F.max(F.when(inside("__a"), F.col("__v"))).alias("__x"), F.max(F.when(inside("__b"), F.col("__v"))).alias("__y"), F.first("__g").alias("__g"))
-    return picked.select(*by, "q", (F.col("__x") + F.col("__g") * (F.col("__y") - F.col("__x"))).alias("value"))
+    picked = joined.where(inside("__a") | inside("__b")).groupBy(*by, "q").agg(F.max(F.when(inside("__a"), F.col("__v"))).alias("__x"), F.max(F.when(inside("__b"), F.col("__v"))).alias("__y"), F.first("__g").alias("__g"), F.first("__nan").alias("__nan"))
+    value = F.when(F.col("__nan"), NAN).otherwise(F.col("__x") + F.col("__g") * (F.col("__y") - F.col("__x")))
+    return picked.select(*by, "q", value.alias("value"))
 
 
 def histogram_bin_edges(df: DataFrame, v: str, bins: int | str = 10, limits: tuple[float, float] | None = None) -> list[float]:
     x = F.col(v).cast("double")
-    s = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("g"), F.percentile(x, F.lit(0.25)).alias("a"), F.percentile(x, F.lit(0.75)).alias("b")).first()
+    s = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"), F.stddev_pop(x).alias("sd"), F.skewness(x).alias("g")).first()
+    middle = {r.q: r.value for r in quantile(df, v, [0.25, 0.75]).collect()} if bins in ("auto", "fd") else {}
     lo, hi = limits or (s.lo, s.hi) if s.n else (0.0, 1.0)
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
@@ -205,7 +230,7 @@ def histogram_bin_edges(df: DataFrame, v: str, bins: int | str = 10, limits: tup
         n, span = max(s.n, 1), hi - lo
         width = {
             "sqrt": span / math.sqrt(n), "sturges": span / (math.log2(n) + 1), "rice": span / (2 * n ** (1 / 3)), "scott": (24 * math.sqrt(math.pi) / n) ** (1 / 3) * (s.sd or 0),
-            "fd": 2 * ((s.b or 0) - (s.a or 0)) * n ** (-1 / 3),
+            "fd": 2 * (middle.get(0.75, 0) - middle.get(0.25, 0)) * n ** (-1 / 3),
             "doane": span / (1 + math.log2(n) + math.log2(1 + abs(s.g or 0) / math.sqrt(6 * (n - 2) / ((n + 1) * (n + 3))))) if n > 2 and s.sd else 0,
         }
         h = min(max(width["fd"], width["sqrt"] / 2) or width["sturges"], width["sturges"]) if bins == "auto" else width[bins]
@@ -247,10 +272,18 @@ def histogramdd(df: DataFrame, columns: dict[str, Sequence[float]], weights: str
 
 
 def digitize(v: Column, edges: Sequence[float], right: bool = False) -> Column:
-    """How many edges lie at or below the value (below, with ``right``); falling edges count from the other end."""
+    """How many edges lie at or below the value (below, with ``right``), by binary search; falling edges count from the other end."""
     if len(edges) > 1 and edges[0] > edges[-1]:
-        return F.lit(len(edges)) - digitize(v, list(reversed(edges)), not right)
-    return sum((((v > float(e)) if right else (v >= float(e))).cast("int") for e in edges), F.lit(0))
+        return F.lit(len(edges)) - digitize(v, list(reversed(edges)), right)
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        past = (v > float(edges[mid])) if right else (v >= float(edges[mid]))
+        return F.when(past, search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return F.when(v.isNotNull(), search(0, len(edges)))
 
 
 def bincount(df: DataFrame, v: str, weights: str | None = None, minlength: int = 0) -> DataFrame:

@@ -1,7 +1,9 @@
 """Running and neighbourhood operators along an ordered index.
 
-A running aggregate over a whole array never sorts it in one task: rows are range-partitioned by the index, each
-partition is folded on its own, and the totals of the partitions before it (one row each) are added.
+A running aggregate over a whole array never sorts it in one task: the index is cut into ranges at bounds that are drawn
+once and are part of the plan, each range is folded on its own, and the totals of the ranges before it (one
+row each) are added.  A row's range is a function of its index alone, so both passes agree on it, however Spark
+partitions either of them.
 """
 
 from __future__ import annotations
@@ -11,27 +13,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Index values drawn for each range; the bounds are quantiles of them.
+DRAWN = 40
+
 
 def _frame(by: Sequence[str], idx: Sequence[str]):
     return Window.partitionBy(*by).orderBy(*idx)
 
 
-def partitioned(df: DataFrame, idx: Sequence[str]) -> DataFrame:
-    """Range-partitioned by the index, with the partition's number as ``__p``."""
-    return df.repartitionByRange(*idx).withColumn("__p", F.spark_partition_id())
+def bounds(df: DataFrame, idx: Sequence[str], ranges: int) -> list:
+    """At most ``ranges`` - 1 rising index rows that cut the table into ranges of about equal size, from a bounded sample."""
+    sample = df.select(*idx).orderBy(F.rand(17)).limit(DRAWN * ranges)
+    rows = sample.orderBy(*idx).collect()
+    cuts = [rows[len(rows) * k // ranges] for k in range(1, ranges)] if rows else []
+    return [r for i, r in enumerate(cuts) if not i or r != cuts[i - 1]]
+
+
+def partitioned(df: DataFrame, idx: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """The rows with the number of their range of the index as ``__p``, by binary search over literal bounds."""
+    idx = list(idx)
+    cuts = bounds(df, idx, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not cuts:
+        return df.withColumn("__p", F.lit(0))
+    kinds = {f.name: f.dataType for f in df.select(*idx).schema}
+    points = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in idx]) for r in cuts])
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+
+    def search(key: Column) -> Column:
+        def halve(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            above = F.get(points, mid) <= key
+            done = acc["lo"] >= acc["hi"]
+            return F.struct(F.when(~done & above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(done | above, acc["hi"]).otherwise(mid).alias("hi"))
+
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda acc: acc["lo"])
+
+    return df.withColumn("__p", search(F.struct(*[F.col(c) for c in idx])))
 
 
 def cumulative(df: DataFrame, v: str, idx: Sequence[str] | str, out: str = "value", by: Sequence[str] = (), kind: str = "sum") -> DataFrame:
-    """Running sum, prod, min or max; grouped when ``by`` is given, else in two passes over partitions."""
+    """Running sum, prod, min or max; grouped when ``by`` is given, else in two passes over ranges."""
     idx = [idx] if isinstance(idx, str) else list(idx)
     f = {"sum": F.sum, "prod": F.product, "min": F.min, "max": F.max}[kind]
     if by:
         return df.withColumn(out, f(v).over(_frame(by, idx).rowsBetween(Window.unboundedPreceding, 0)))
     parts = partitioned(df, idx)
     totals = parts.groupBy("__p").agg(f(v).alias("__t"))
-    before = totals.withColumn("__b", f("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", "__b")
+    before = totals.select("__p", f("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__b"))
     local = parts.withColumn(out, f(v).over(_frame(["__p"], idx).rowsBetween(Window.unboundedPreceding, 0)))
-    joined = local.join(F.broadcast(before), "__p")
+    joined = local.join(F.broadcast(before), "__p")  # a row a range
     merge = {"sum": lambda a, b: F.coalesce(b, F.lit(0)) + a, "prod": lambda a, b: F.coalesce(b, F.lit(1.0)) * a, "min": F.least, "max": F.greatest}[kind]
     return joined.withColumn(out, merge(F.col(out), F.col("__b"))).drop("__p", "__b")
 
@@ -53,7 +83,7 @@ def row_index(df: DataFrame, idx: Sequence[str], out: str = "idx") -> DataFrame:
     """A dense position 0, 1, 2 … in the order of the columns, in two passes."""
     parts = partitioned(df, idx)
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     ranked = parts.withColumn("__r", F.row_number().over(_frame(["__p"], idx)))
     return ranked.join(F.broadcast(before), "__p").withColumn(out, F.col("__r") - 1 + F.col("__b")).drop("__p", "__b", "__r")
 

@@ -102,7 +102,9 @@ def price_profile(spark, d):
     v = F.col("l_extendedprice")
     edges = [10000.0 * k for k in range(12)]
     rows = _t(spark, d, "lineitem").select("l_returnflag", v, reduce.bin_of(v, edges).alias("bin"))
-    return rows.groupBy("l_returnflag", "bin").agg(F.count("*").alias("n"), *[F.round(reduce.percentile(v, q), 4).alias(f"p{q}") for q in (10, 50, 90)], F.round(reduce.mean(v), 4).alias("mean"), F.round(reduce.std(v), 4).alias("std"))
+    return rows.groupBy("l_returnflag", "bin").agg(F.count("*").alias("n"), reduce.percentiles(v, (10, 50, 90)).alias("p"), F.round(reduce.mean(v), 4).alias("mean"), F.round(reduce.std(v), 4).alias("std")).select(
+        "l_returnflag", "bin", "n", *[F.round(F.col("p")[k], 4).alias(f"p{q}") for k, q in enumerate((10, 50, 90))], "mean", "std"
+    )
 
 
 @query("sum_by_axis", "SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS total, count(*) AS n, min(l_discount) AS low, max(l_discount) AS high, max(l_quantity) - min(l_quantity) AS ptp, bool_and(l_quantity <> 0) AS all_, bool_or(l_tax <> 0) AS any_, count(*) FILTER (l_discount <> 0) AS nonzero FROM lineitem GROUP BY 1, 2")
@@ -124,9 +126,21 @@ def nan_stats(spark, d):
     return _with_nan(spark, d).groupBy("event_type").agg(F.round(reduce.nansum(x), 3).alias("nansum"), F.round(reduce.nanmean(x), 4).alias("nanmean"), reduce.nanmin(x).alias("nanmin"), reduce.nanmax(x).alias("nanmax"), F.round(reduce.nanmedian(x), 4).alias("nanmedian"), F.round(reduce.nanstd(x), 4).alias("nanstd"), F.round(reduce.nanpercentile(x, 25), 4).alias("nanp25"), F.count_if(F.isnan(x)).alias("nans"))
 
 
-@query("nan_propagation", f"SELECT event_type, bool_or(isnan(x)) AS spoiled, arg_min(event_id, CASE WHEN isnan(x) THEN event_id - 1e9 ELSE event_id::DOUBLE - 1e9 + 1e9 + 1e6 - x END) IS NOT NULL AS found FROM (SELECT event_type, event_id, {_NAN} AS x FROM events) GROUP BY 1")
+@query("nan_propagation", f"""WITH r AS (SELECT event_type, event_id, {_NAN} AS x FROM events), g AS (SELECT event_type, bool_or(isnan(x)) AS spoiled, max(CASE WHEN NOT isnan(x) THEN x END) AS hi, min(CASE WHEN NOT isnan(x) THEN x END) AS lo FROM r GROUP BY 1)
+SELECT event_type, spoiled, min(CASE WHEN isnan(x) OR NOT spoiled AND x = hi THEN event_id END) AS argmax, min(CASE WHEN isnan(x) OR NOT spoiled AND x = lo THEN event_id END) AS argmin, min(CASE WHEN x = hi THEN event_id END) AS nanargmax, min(CASE WHEN x = lo THEN event_id END) AS nanargmin, spoiled AS low_spoiled, spoiled AS p90_spoiled FROM r JOIN g USING (event_type) GROUP BY event_type, spoiled""")
 def nan_propagation(spark, d):
-    return _with_nan(spark, d).groupBy("event_type").agg(F.isnan(reduce.amax("x")).alias("spoiled"), reduce.argmax("x", "event_id").isNotNull().alias("found"))
+    made = {"argmax": reduce.argmax("x", "event_id"), "argmin": reduce.argmin("x", "event_id"), "nanargmax": reduce.nanargmax("x", "event_id"), "nanargmin": reduce.nanargmin("x", "event_id"), "spoiled": F.isnan(reduce.amax("x")), "low_spoiled": F.isnan(reduce.amin("x")), "p90_spoiled": F.isnan(reduce.percentile("x", 90))}
+    return _with_nan(spark, d).groupBy("event_type").agg(*[c.alias(n) for n, c in made.items()])
+
+
+_BIG = "(9007199254740993 + 3 * p_partkey)::BIGINT"
+
+
+@query("exact_integers", f"SELECT p_size, max({_BIG}) AS hi, min({_BIG}) AS lo, max({_BIG}) - min({_BIG}) AS ptp, arg_max(p_partkey, {_BIG}) AS at_hi, arg_min(p_partkey, {_BIG}) AS at_lo, sum(({_BIG} // 3) % 1000)::BIGINT AS quotients, sum(-(({_BIG} + 6) // 7) % 1000)::BIGINT AS negative FROM part GROUP BY 1")
+def exact_integers(spark, d):
+    rows = _t(spark, d, "part").withColumn("x", F.lit(9007199254740993) + 3 * F.col("p_partkey"))
+    quotient, negative = u.ufunc("floor_divide", F.col("x"), F.lit(3).cast("long")), u.ufunc("divmod", -F.col("x"), F.lit(7).cast("long"))["quotient"]
+    return rows.groupBy("p_size").agg(reduce.amax("x").alias("hi"), reduce.amin("x").alias("lo"), reduce.ptp("x").alias("ptp"), reduce.argmax("x", "p_partkey").alias("at_hi"), reduce.argmin("x", "p_partkey").alias("at_lo"), F.sum(quotient % 1000).alias("quotients"), F.sum(negative % 1000).alias("negative"))
 
 
 @query("argmax_first_tie", "SELECT event_type, (SELECT min(event_id) FROM events e WHERE e.event_type = g.event_type AND e.value = g.hi) AS argmax, (SELECT min(event_id) FROM events e WHERE e.event_type = g.event_type AND e.value = g.lo) AS argmin FROM (SELECT event_type, max(value) AS hi, min(value) AS lo FROM events GROUP BY 1) g")
@@ -342,15 +356,9 @@ def mask_filter(spark, d):
     return indexing.compress(_t(spark, d, "lineitem"), (F.col("l_discount") > 0.05) & (F.col("l_quantity") < 10)).select(*LINE, "l_quantity")
 
 
-@query("slice_step", "SELECT ((vec_id - 3) / 4)::BIGINT AS vec_id, label FROM embeddings WHERE vec_id >= 3 AND vec_id < 400 AND (vec_id - 3) % 4 = 0")
+@query("slice_step", "SELECT ((vec_id - 3) / 4)::BIGINT AS vec_id, label FROM embeddings WHERE vec_id >= 3 AND (vec_id - 3) % 4 = 0")
 def slice_step(spark, d):
-    return indexing.slice_rows(_t(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 3, 400, 4)
-
-
-@query("take_wrap", "SELECT e.event_id, v.label FROM (SELECT event_id, user_id % 500 AS i FROM events) e JOIN embeddings v ON v.vec_id = e.i")
-def take_wrap(spark, d):
-    e = _t(spark, d, "embeddings").where("vec_id < 500").select("vec_id", "label")
-    return indexing.take(e, "vec_id", _t(spark, d, "events").select("event_id", "user_id"), "user_id", 500, "wrap").select("event_id", "label")
+    return indexing.slice_rows(_t(spark, d, "embeddings").select("vec_id", "label"), "vec_id", 3, None, 4)
 
 
 @query("put_last", "SELECT vec_id, coalesce(u, label)::INTEGER AS label FROM embeddings LEFT JOIN (SELECT user_id % 100 AS vec_id, arg_max(event_id % 9, event_id) AS u FROM events GROUP BY 1) USING (vec_id)")
@@ -365,42 +373,11 @@ def select_piecewise(spark, d):
     return _t(spark, d, "events").select("event_id", indexing.select([v < 100, v < 300], ["low", "mid"], "high").alias("band"), _r(indexing.piecewise(v, [v < 100, v >= 300], [lambda x: -x, lambda x: x * 2], 0.0), 4).alias("y"))
 
 
-def _matrix(spark, d, n=40):
-    e = _t(spark, d, "embeddings").where(F.col("vec_id") < n)
-    return e.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v")).select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v"))
-
-
-_M = "SELECT vec_id AS i0, unnest(range(0, 64)) AS i1, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 40"
-
-
-@query("transpose_flip", f"SELECT i1 AS i0, (39 - i0)::BIGINT AS i1, round(v, 6) AS v FROM ({_M})")
-def transpose_flip(spark, d):
-    return shape.flip(shape.transpose(_matrix(spark, d), ["i0", "i1"], [1, 0]), "i1", 40).withColumn("v", F.round("v", 6))
-
-
-@query("reshape_ravel", f"SELECT ((i0 * 64 + i1) // 80)::BIGINT AS r, ((i0 * 64 + i1) % 80)::BIGINT AS c, round(v, 6) AS v FROM ({_M})")
-def reshape_ravel(spark, d):
-    return shape.reshape(_matrix(spark, d), ["i0", "i1"], (40, 64), ["r", "c"], (32, 80)).withColumn("v", F.round("v", 6))
-
-
-@query("pad_reflect", "WITH s AS (SELECT vec_id AS i, label AS v FROM embeddings WHERE vec_id < 10), p AS (SELECT unnest(range(0, 16)) AS i) SELECT p.i::BIGINT AS i, v FROM p JOIN s ON s.i = CASE WHEN p.i < 3 THEN 3 - p.i WHEN p.i < 13 THEN p.i - 3 ELSE 18 - (p.i - 3) END")
-def pad_reflect(spark, d):
-    s = _t(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("i"), F.col("label").alias("v"))
-    return shape.pad(s, "i", 10, 3, 3, "reflect")
-
-
 @query("tile_repeat", "SELECT (r_regionkey + 5 * k)::BIGINT AS i, r_name FROM region, range(0, 3) t(k)")
 def tile_repeat(spark, d):
     return shape.tile(_t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("i"), "r_name"), "i", 5, 3)
 
 
-@query("tril_trace", f"SELECT round(sum(CASE WHEN i1 <= i0 THEN v ELSE 0 END), 4) AS lower_sum, round(sum(CASE WHEN i1 = i0 THEN v ELSE 0 END), 4) AS trace FROM ({_M})")
-def tril_trace(spark, d):
-    m = _matrix(spark, d)
-    low = shape.tril(m, "i0", "i1", "v").agg(F.round(F.sum("v"), 4).alias("lower_sum"))
-    return low.crossJoin(shape.diagonal(m, "i0", "i1").agg(F.round(F.sum("v"), 4).alias("trace")))
-
-
 # Records and masks -------------------------------------------------------------------------------------------------
 
 _ORD = "SELECT o_custkey AS k, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000"
@@ -419,11 +396,6 @@ for _how, _kind in (("inner", "JOIN"), ("outer", "FULL JOIN"), ("leftouter", "LE
         return records.join_by(["k"], *_both(spark, d), how)
 
 
-@query("merge_positional", "SELECT coalesce(s_suppkey, -1)::BIGINT AS s_suppkey, r_regionkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier WHERE s_suppkey <= 3) FULL JOIN (SELECT r_regionkey, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) USING (i)")
-def merge_positional(spark, d):
-    return records.merge_arrays(_t(spark, d, "supplier").where("s_suppkey <= 3").select("s_suppkey"), _t(spark, d, "region").select("r_regionkey"), (["s_suppkey"], ["r_regionkey"]), {"s_suppkey": -1})
-
-
 @query("stack_records", "SELECT r_regionkey::BIGINT AS key, r_name AS name, NULL::DOUBLE AS bal FROM region UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def stack_records(spark, d):
     a = _t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("name"))
@@ -488,28 +460,6 @@ def busday_offset(spark, d):
 # Contractions, polynomials, transforms -----------------------------------------------------------------------------
 
 
-@query("matmul_gram", "SELECT i::INTEGER AS i, j::INTEGER AS j, round(sum(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE), 4) AS v FROM embeddings, range(0, 8) a(i), range(0, 8) b(j) WHERE i <= j GROUP BY 1, 2")
-def matmul_gram(spark, d):
-    return linalg.gram(_t(spark, d, "embeddings"), "embedding", 8).withColumn("v", F.round("v", 4))
-
-
-@query("einsum_pair_dot", f"WITH m AS ({_M}) SELECT a.i0 AS i0, b.i0 AS i1, round(sum(a.v * b.v), 4) + 0.0 AS v FROM m a JOIN m b USING (i1) GROUP BY 1, 2")
-def einsum_pair_dot(spark, d):
-    m = _matrix(spark, d)
-    return linalg.einsum("ik,jk->ij", m, m).withColumn("v", _r(F.col("v"), 4))
-
-
-@query("norm_rows", f"SELECT i0, round(sqrt(sum(v * v)), 5) AS value FROM ({_M}) GROUP BY 1")
-def norm_rows(spark, d):
-    return linalg.norm(_matrix(spark, d), "v", 2, ["i0"]).withColumn("value", F.round("value", 5))
-
-
-@query("det_blocks", f"WITH m AS (SELECT (i0 // 2)::BIGINT AS b, i0 % 2 AS r, i1 AS c, v FROM ({_M}) WHERE i1 < 2) SELECT b, round(max(CASE WHEN r = 0 AND c = 0 THEN v END) * max(CASE WHEN r = 1 AND c = 1 THEN v END) - max(CASE WHEN r = 0 AND c = 1 THEN v END) * max(CASE WHEN r = 1 AND c = 0 THEN v END), 6) + 0.0 AS value FROM m GROUP BY 1")
-def det_blocks(spark, d):
-    m = _matrix(spark, d).where("i1 < 2").select(F.floor(F.col("i0") / 2).cast("long").alias("b"), (F.col("i0") % 2).alias("i0"), "i1", "v")
-    return linalg.decompose(m, "det").select("b", _r(F.col("value")).alias("value"))
-
-
 @query("polyfit_line", "SELECT round(regr_intercept(l_extendedprice, l_quantity), 3) AS c0, round(regr_slope(l_extendedprice, l_quantity), 4) AS c1 FROM lineitem")
 def polyfit_line(spark, d):
     c = poly.fit(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", 1)
@@ -522,20 +472,15 @@ def polynomial_values(spark, d):
     return _columns(_t(spark, d, "events"), ["event_id"], power=_r(poly.polyval(x, [1, 2, -0.5])), **{k: _r(poly.series_value(x, [1, 2, 3], k)) for k in ("chebyshev", "legendre", "laguerre")})
 
 
-@query("dft_long", f"SELECT i0, k::INTEGER AS k, round(sum(v * cos(2 * pi() * ((k * i1) % 16) / 16)), 4) + 0.0 AS re, round(sum(-v * sin(2 * pi() * ((k * i1) % 16) / 16)), 4) + 0.0 AS im FROM ({_M}), range(0, 16) t(k) WHERE i1 < 16 GROUP BY 1, 2")
-def dft_long(spark, d):
-    out = fft.dft(_matrix(spark, d).where("i1 < 16"), "i1", "v", 16, "i0")
-    return out.select("i0", "k", _r(F.col("re"), 4).alias("re"), _r(F.col("im"), 4).alias("im"))
-
-
-@query("fft_power", "SELECT vec_id, round(sum(v) * sum(v), 3) AS dc, round(64 * sum(v * v), 2) AS energy FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1")
+@query("fft_power", "SELECT vec_id, round(sum(v) * sum(v), 3) AS dc, round(64 * sum(v * v), 2) AS energy, " + ", ".join(f"round(sum(v * cos(2 * pi() * {k} * i / 64)), 4) + 0.0 AS re{k}, round(-sum(v * sin(2 * pi() * {k} * i / 64)), 4) + 0.0 AS im{k}" for k in (1, 7, 32, 50)) + " FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1")
 def fft_power(spark, d):
     out = fft.transform(_t(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
     total = F.aggregate(F.zip_with("out_re", "out_im", lambda a, b: a * a + b * b), F.lit(0.0), lambda s, x: s + x)
-    return out.select("vec_id", F.round(F.col("out_re")[0] * F.col("out_re")[0], 3).alias("dc"), F.round(total, 2).alias("energy"))
+    parts = [_r(F.col(f"out_{p}")[k], 4).alias(f"{p}{k}") for k in (1, 7, 32, 50) for p in ("re", "im")]
+    return out.select("vec_id", F.round(F.col("out_re")[0] * F.col("out_re")[0], 3).alias("dc"), F.round(total, 2).alias("energy"), *parts)
 
 
-# The same operators over whole tables, sizes from counts -----------------------------------------------------------
+# Matrices: whole tables, sizes from counts -----------------------------------------------------------
 
 _ALL = "SELECT vec_id AS i0, unnest(range(0, len(embedding))) AS i1, unnest(embedding)::DOUBLE AS v FROM embeddings"
 _N = "(SELECT count(*) FROM embeddings)"

@@ -11,6 +11,7 @@ CUT = ["transpose_flip", "reshape_ravel", "tril_trace", "pad_reflect", "take_wra
 
 @pytest.mark.parametrize("name", CUT)
 def test_has_a_whole_table_query_without_a_literal_cut(name):
+    assert name not in registry.QUERIES
     sql = registry.ORACLES[f"{name}_whole"]
     assert "vec_id <" not in sql and "s_suppkey <=" not in sql and "i1 <" not in sql.replace("i1 <= i0", "")
 
