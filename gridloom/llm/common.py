@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows to a table in the shared folder and reads them back: lineage ends here."""
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes the rows to a table in the shared folder (with the writer's options) and reads them back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -27,6 +27,8 @@ from . import flac, textscan
 from .common import renamed, stored, table
 
 _CHUNK = 1 << 20
+#: How the media table is written: streams of equal texts, seek tables and padding frames repeat bytes within a page.
+_TABLE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,4 +97,4 @@ def pcm_blocks(media: DataFrame, *, frames: int = 64) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8 over all of ``documents``: the media column is written to a table, and the features come from its reread bytes."""
-    return media_features(stored(encode_media(table(spark, sf_dir, "documents")), "media"))
+    return media_features(stored(encode_media(table(spark, sf_dir, "documents")), "media", **_TABLE))
