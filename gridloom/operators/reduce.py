@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.scan import cumulative
+from gridloom.operators.scan import partitioned
 
 NAN = float("nan")
 
@@ -191,30 +191,32 @@ def _virtual(n: Column, q: float, method: str) -> tuple[Column, Column]:
 def quantile(df: DataFrame, v: str, qs: Sequence[float], by: Sequence[str] = (), method: str = "linear") -> DataFrame:
     """Rows (by…, q, value); NaN for a group that holds one.
 
-    Values are counted first; ranks are one running count over the distinct values of all groups, in ranges, less
-    what the groups before have.  So neither a large group nor a whole table is sorted in one task.
+    Values are counted first.  The distinct values of all groups are cut into ranges; a value's rank in its group is a running
+    count inside its range, more by what the group has in the ranges before (one row for each range of a group).
+    So neither a large group nor a whole table is sorted in one task, and the counts are shuffled once.
     """
     by = list(by)
     counts = df.where(F.col(v).isNotNull()).groupBy(*by, F.col(v).cast("double").alias("__v")).agg(F.count("*").alias("__k"))
-    running = cumulative(counts, "__k", [*by, "__v"], "__hi")
-    sizes = running.groupBy(*by).agg(F.sum("__k").alias("__n"), F.min(F.col("__hi") - F.col("__k")).alias("__s"), F.bool_or(F.isnan("__v")).alias("__nan"))
-    wanted = sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-    low = share = None
+    # the key is a struct, in which nulls are equal: groups with a null key are groups too
+    parts = partitioned(counts, [*by, "__v"]).select(F.struct(*by, "__p").alias("__key"), "__v", "__k")
+    totals = parts.groupBy("__key").agg(F.sum("__k").alias("__t"), F.max(F.isnan("__v")).alias("__nan"))
+    # merged by key, as the window needs them; by estimates Spark would broadcast the counted values
+    group = Window.partitionBy(*[F.col("__key")[c] for c in by])
+    earlier = group.orderBy(F.col("__key")["__p"]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.select("__key", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__s"), F.sum("__t").over(group).alias("__n"), F.max("__nan").over(group).alias("__nan"))
+    inner = Window.partitionBy("__key").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parts.join(groups.hint("merge"), "__key").withColumn("__hi", F.col("__s") + F.sum("__k").over(inner)).withColumn("__lo", F.col("__hi") - F.col("__k"))
+    last, wanted, here = F.col("__n") - 1, [], F.lit(False)
+    inside = lambda i: (i >= F.col("__lo")) & (i < F.col("__hi"))
     for q in qs:
-        a, g = _virtual(F.col("__n"), float(q), method)
-        here = F.col("q") == float(q)
-        low = F.when(here, a) if low is None else low.when(here, a)
-        share = F.when(here, g) if share is None else share.when(here, g)
-    last = F.col("__n") - 1
-    wanted = wanted.withColumn("__a", F.greatest(F.least(low, last), F.lit(0)) + F.col("__s")).withColumn("__b", F.greatest(F.least(low + 1, last), F.lit(0)) + F.col("__s")).withColumn("__g", share)
-    ranked = running.withColumn("__lo", F.col("__hi") - F.col("__k"))
-    if by:  # groups with a null key are groups too
-        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-        joined = ranked.alias("l").join(wanted.alias("r"), same).select(*[F.col(f"l.{c}").alias(c) for c in by], "l.__v", "l.__lo", "l.__hi", "r.q", "r.__a", "r.__b", "r.__g", "r.__nan")
-    else:
-        joined = ranked.crossJoin(F.broadcast(wanted))  # one row a quantile
-    inside = lambda i: (F.col(i) >= F.col("__lo")) & (F.col(i) < F.col("__hi"))
-    picked = joined.where(inside("__a") | inside("__b")).groupBy(*by, "q").agg(F.max(F.when(inside("__a"), F.col("__v"))).alias("__x"), F.max(F.when(inside("__b"), F.col("__v"))).alias("__y"), F.first("__g").alias("__g"), F.first("__nan").alias("__nan"))
+        low, share = _virtual(F.col("__n"), float(q), method)
+        a, b = (F.greatest(F.least(i, last), F.lit(0)).cast("long") for i in (low, low + 1))
+        wanted.append(F.struct(F.lit(float(q)).alias("q"), a.alias("a"), b.alias("b"), share.cast("double").alias("g")))
+        here = here | inside(a) | inside(b)
+    found = ranked.where(here).withColumn("__w", F.explode(F.array(*wanted)))
+    at = lambda i: F.max(F.when(inside(F.col("__w")[i]), F.col("__v")))
+    picked = found.where(inside(F.col("__w.a")) | inside(F.col("__w.b"))).select(*[F.col("__key")[c].alias(c) for c in by], F.col("__w.q").alias("q"), "__w", "__v", "__lo", "__hi", "__nan")
+    picked = picked.groupBy(*by, "q").agg(at("a").alias("__x"), at("b").alias("__y"), F.first("__w.g").alias("__g"), F.first("__nan").alias("__nan"))
     value = F.when(F.col("__nan"), NAN).otherwise(F.col("__x") + F.col("__g") * (F.col("__y") - F.col("__x")))
     return picked.select(*by, "q", value.alias("value"))
 

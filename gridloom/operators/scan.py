@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Index values drawn for each range; the bounds are quantiles of them.
 DRAWN = 40
+#: Bounds searched by compiled comparisons; only the steps between them are interpreted.
+COMPILED = 64
 
 
 def _frame(by: Sequence[str], idx: Sequence[str]):
@@ -30,23 +32,34 @@ def bounds(df: DataFrame, idx: Sequence[str], ranges: int) -> list:
 
 
 def partitioned(df: DataFrame, idx: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """The rows with the number of their range of the index as ``__p``, by binary search over literal bounds."""
+    """The rows with the number of their range of the index as ``__p``, by binary search over literal bounds (nested comparisons)."""
     idx = list(idx)
     cuts = bounds(df, idx, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if not cuts:
         return df.withColumn("__p", F.lit(0))
     kinds = {f.name: f.dataType for f in df.select(*idx).schema}
-    points = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in idx]) for r in cuts])
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    points = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in idx]) for r in cuts]
+    top = [len(cuts) * k // COMPILED for k in range(COMPILED)] if len(cuts) > COMPILED else range(len(cuts))
+
+    def narrowed(key: Column, leaf, lo: int, hi: int) -> Column:
+        if lo == hi:
+            return leaf(lo)
+        mid = (lo + hi) // 2
+        return F.when(points[top[mid]] <= key, narrowed(key, leaf, mid + 1, hi)).otherwise(narrowed(key, leaf, lo, mid))
 
     def search(key: Column) -> Column:
+        if len(top) == len(cuts):
+            return narrowed(key, F.lit, 0, len(cuts))
+        span = lambda k: F.struct(F.lit(top[k - 1] + 1 if k else 0).alias("lo"), F.lit(top[k] if k < len(top) else len(cuts)).alias("hi"))
+        steps = F.sequence(F.lit(1), F.lit((len(cuts) // COMPILED + 1).bit_length()))
+
         def halve(acc: Column, _: Column) -> Column:
             mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-            above = F.get(points, mid) <= key
+            above = F.get(F.array(*points), mid) <= key
             done = acc["lo"] >= acc["hi"]
             return F.struct(F.when(~done & above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(done | above, acc["hi"]).otherwise(mid).alias("hi"))
 
-        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda acc: acc["lo"])
+        return F.aggregate(steps, narrowed(key, span, 0, len(top)), halve, lambda acc: acc["lo"])
 
     return df.withColumn("__p", search(F.struct(*[F.col(c) for c in idx])))
 
