@@ -10,7 +10,9 @@ Training: documents carry the labels; a document is a bag of sentences, a senten
 unit.  The landmarks are frequent witnesses of toxic bags and units of clean ones; the first witnesses are the
 units most typical of toxic texts.  A witness may also stand in clean texts if its log-odds are at least ``ODDS`` and
 ``SURE`` standard errors; such a unit is never a negative.  A linear SVM (squared hinge) is trained in the Nyström space, and in ``ROUNDS``
-rounds the witnesses of toxic bags and the hardest units of clean bags are chosen anew.  A fifth of the sample, unseen, calibrates the sigmoid of a document's worst unit.
+rounds the witnesses of toxic bags and the hardest units of clean bags are chosen anew.  The machine learns from the
+whole sample; ``FOLDS`` more machines, each blind to its part of the sample, calibrate a sigmoid of two measures of a document: its worst unit, and how dense units on the toxic side are (one such unit among
+hundreds may be chance, several close together are not).  Neither weight may be negative.
 At most about ``SAMPLE`` labelled documents of each class, of at most ``LONGEST`` characters each, are taken,
 chosen by a hash of the id.
 
@@ -18,7 +20,7 @@ Scoring: the landmarks' weighted sum is one table over letter triples, exactly e
 landmarks, so a unit costs the same whatever their number.  Each distinct unit of a task is scored once;
 the scan has no shuffle, and whole texts count.
 
-Defined results: texts without any unit (null, empty) get the score of the lowest possible unit; without
+Defined results: texts without any unit (null, empty) get the score of a unit without letters and no density; without
 labels of both classes every score is the share of toxic labels (0 without labels); rows with a null id are not
 held out; labels that disagree on one id count as toxic; repeated rows and ties score alike; an empty table gives no
 rows; columns besides the named ones are not read, so their names can't clash.
@@ -39,7 +41,8 @@ from .common import Latest, crc_bucket, renamed, table, tidy
 from .sampling import per_class
 
 SAMPLE, LONGEST, THRESHOLD = 2000, 20_000, 0.3
-DECAY, GAP, WIDTH, LANDMARKS, ROUNDS, CACHE = 0.6, 3, 16, 128, 5, 1 << 18
+PRIOR, FIRM = (1.0, 2.0), 1.0
+DECAY, GAP, WIDTH, LANDMARKS, ROUNDS, CACHE, PADDING, FOLDS = 0.6, 3, 16, 128, 5, 1 << 18, 20, 3
 ODDS, SURE = np.log(4.0), 3.0
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -138,6 +141,12 @@ def unit_scores(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights:
     return out
 
 
+def density(row: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Log of one plus the hits among 100 units of each of n rows; a hit counts its margin, 1 at most, and short texts are padded."""
+    hits = np.bincount(row, np.clip(score, 0, 1), n)
+    return np.log1p(100 * hits / (np.bincount(row, minlength=n) + PADDING))
+
+
 class _Bags:
     """Distinct units (windows of longer ones) of a sample and the documents they stand in."""
 
@@ -150,7 +159,7 @@ class _Bags:
             sizes += np.diff(at).tolist()
         buf, offsets = np.concatenate(done), np.cumsum(np.asarray(sizes, np.int64))
         index = textscan.HashIndex()
-        starts, ends, docs, found = [], [], [], []
+        starts, ends, docs, found, times = [], [], [], [], []
         for lo, hi in textscan.row_chunks(offsets, 1 << 19):
             piece = buf[offsets[lo] : offsets[hi]]
             a, z, first = spread_out(*units(piece, offsets[lo : hi + 1] - offsets[lo]))
@@ -161,11 +170,12 @@ class _Bags:
             starts.append((a[where[fresh]] + offsets[lo]).astype(np.int32))
             ends.append((z[where[fresh]] + offsets[lo]).astype(np.int32))
             doc = np.repeat(np.arange(lo, hi, dtype=np.int64), np.diff(first))
-            pairs = np.unique(doc << 32 | index.get(keys).astype(np.int64))
+            pairs, often = np.unique(doc << 32 | index.get(keys).astype(np.int64), return_counts=True)
             docs.append((pairs >> 32).astype(np.int32))
             found.append((pairs & 0xFFFFFFFF).astype(np.int32))
+            times.append(often.astype(np.int32))
         self.buf, self.n_docs, self.n = buf, len(texts), index.n
-        self.starts, self.ends, self.doc, self.unit = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (starts, ends, docs, found))
+        self.starts, self.ends, self.doc, self.unit, self.times = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (starts, ends, docs, found, times))
 
     def spread(self, docs: np.ndarray) -> np.ndarray:
         """In how many of the marked documents each unit stands."""
@@ -179,6 +189,10 @@ class _Bags:
         who[self.doc[hit]] = self.unit[hit]
         return best, who
 
+    def density(self, score: np.ndarray) -> np.ndarray:
+        """Per document how dense its units on the toxic side are."""
+        return density(np.repeat(self.doc, self.times), np.repeat(score[self.unit], self.times), self.n_docs)
+
     def dense(self, which: np.ndarray) -> np.ndarray:
         """Explicit feature vectors, a row each."""
         x, unit = windows(self.buf, self.starts[which], self.ends[which])
@@ -204,28 +218,31 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, roun
     return w[:-1], float(w[-1])
 
 
-def _sigmoid_fit(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    x = np.stack([s, np.ones(len(s))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 1e-2 * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(w[0], 1e-3)), float(w[1])
-
-
-def fit(texts: list[str], labels: list[int], share: float) -> dict:
-    """The model of a labelled sample; ``share`` is the toxic share of all labels."""
-    y = np.asarray(labels, np.int64)
-    if not len(y) or y.min() == y.max():
-        return {"constant": float(share)}
-    bags = _Bags(texts)
-    held = np.arange(len(y)) % 5 == 4
-    toxic, clean = (y == 1) & ~held, (y == 0) & ~held
+def _sigmoid_fit(measures: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the measures, none negative, and the shift of a logistic regression by Newton steps.
+
+    ``PRIOR`` weights, held as firmly as ``FIRM`` says, keep both measures in use where few rows are toxic."""
+    prior, firm = np.array([*PRIOR, 0.0]), np.array([FIRM] * len(PRIOR) + [1e-2])
+    x = np.hstack([measures, np.ones((len(y), 1))])
+    used = np.ones(x.shape[1], bool)
+    while True:
+        w, part = np.zeros(x.shape[1]), x[:, used]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = part.T @ (weight * (p - y)) + (firm * (w - prior))[used]
+            h = (part * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part + np.diag(firm[used])
+            step = np.linalg.solve(h, g)
+            w[used] -= np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        negative = np.flatnonzero(w[:-1] < 0)
+        if not len(negative):
+            return w[:-1], float(w[-1])
+        used[negative] = False
+
+
+def _trained(bags: _Bags, toxic: np.ndarray, clean: np.ndarray) -> tuple[dict, np.ndarray] | None:
+    """The machine of the marked documents and its score of every unit; None without witnesses."""
     in_toxic, in_clean = bags.spread(toxic), bags.spread(clean)
     odds = np.log((in_toxic + 0.5) / (toxic.sum() + 1)) - np.log((in_clean + 0.5) / (clean.sum() + 1))
     _, who = bags.worst(odds)
@@ -239,7 +256,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         positives, times = np.unique(who[toxic & (who >= 0)], return_counts=True)
         times, positives = times[apart[positives]], positives[apart[positives]]
         if not len(positives) or not len(negatives):
-            return {"constant": float(share)}
+            return None
         marks = np.concatenate([positives[np.argsort(-times, kind="stable")[: LANDMARKS // 2]], rng.permutation(negatives)[: LANDMARKS // 2]])
         phi = bags.dense(marks)
         values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
@@ -257,11 +274,32 @@ def fit(texts: list[str], labels: list[int], share: float) -> dict:
         _, who = bags.worst(score + 0.1 * np.minimum(odds, 3) * apart)
         _, hard = bags.worst(np.where(apart, -np.inf, score))
         negatives = np.unique(np.concatenate([negatives, hard[clean & (hard >= 0)], calm[np.argsort(-score[calm], kind="stable")[:1500]]]))
-    worst, _ = bags.worst(score)
-    worst = np.maximum(worst, model["bias"])
+    return model, score
+
+
+def _measures(bags: _Bags, model: dict, score: np.ndarray) -> np.ndarray:
+    return np.stack([np.maximum(bags.worst(score)[0], model["bias"]), bags.density(score)], 1)
+
+
+def fit(texts: list[str], labels: list[int], share: float) -> dict:
+    """The model of a labelled sample; ``share`` is the toxic share of all labels."""
+    y = np.asarray(labels, np.int64)
+    if not len(y) or y.min() == y.max():
+        return {"constant": float(share)}
+    bags, fold = _Bags(texts), np.arange(len(y)) % FOLDS
+    found = _trained(bags, y == 1, y == 0)
+    if found is None:
+        return {"constant": float(share)}
+    model, score = found
+    measures, unseen = _measures(bags, model, score), np.zeros(len(y), bool)
+    for k in range(FOLDS):
+        part = _trained(bags, (y == 1) & (fold != k), (y == 0) & (fold != k))
+        if part is not None:
+            measures[fold == k] = _measures(bags, *part)[fold == k]
+            unseen |= fold == k
+    use = unseen if unseen.any() and y[unseen].min() != y[unseen].max() else np.ones(len(y), bool)
     prior = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
-    use = held if held.any() and y[held].min() != y[held].max() else np.ones(len(y), bool)
-    model["slope"], model["shift"] = _sigmoid_fit(worst[use], y[use], prior[use])
+    model["slopes"], model["shift"] = _sigmoid_fit(measures[use], y[use], prior[use])
     return model
 
 
@@ -296,10 +334,11 @@ def _text_scores(texts: pa.Array, broadcast) -> np.ndarray:
     with np.errstate(over="ignore"):
         for lo, hi in textscan.row_chunks(offsets):
             b, at = closed_up(textscan.lower_ascii(buf[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo])
-            starts, ends, first = units(b, at)
-            worst = np.full(hi - lo, model["bias"])
-            np.maximum.at(worst, np.repeat(np.arange(hi - lo), np.diff(first)), known.get(b, starts, ends, model))
-            out.append(1 / (1 + np.exp(-np.clip(model["slope"] * worst + model["shift"], -700, 700))))
+            starts, ends, first = spread_out(*units(b, at))
+            worst, row, score = np.full(hi - lo, model["bias"]), np.repeat(np.arange(hi - lo), np.diff(first)), known.get(b, starts, ends, model)
+            np.maximum.at(worst, row, score)
+            x = np.stack([worst, density(row, score, hi - lo)], 1) @ model["slopes"] + model["shift"]
+            out.append(1 / (1 + np.exp(-np.clip(x, -700, 700))))
     return np.concatenate(out)
 
 
