@@ -107,3 +107,57 @@ def notmasked_edges(df: DataFrame, v: str, idx: str, by: Sequence[str] = ()) ->
 
 def mask_or(a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+
+
+#: The least normal double: a quotient is masked where its divisor is no larger than this times its dividend.
+TINY = 2.2250738585072014e-308
+
+
+def _finite(v: Column) -> Column:
+    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+
+
+def masked_function(name: str, x: Column) -> Column:
+    """A function with a domain: cells outside it, and cells whose value is not finite, are masked."""
+    x = x.cast("double")
+    edge = 1 - 1e-15
+    inside, value = {
+        "log": (x > 0, F.log(x)),
+        "log2": (x > 0, F.log2(x)),
+        "log10": (x > 0, F.log10(x)),
+        "sqrt": (x >= 0, F.sqrt(x)),
+        "arcsin": (F.abs(x) <= 1, F.asin(x)),
+        "arccos": (F.abs(x) <= 1, F.acos(x)),
+        "arccosh": (x >= 1, F.acosh(x)),
+        "arctanh": (F.abs(x) <= edge, F.atanh(x)),
+        "tan": (F.abs(F.cos(x)) >= 1e-35, F.tan(x)),
+    }[name]
+    return F.when(inside, _finite(value))
+
+
+def masked_divide(name: str, a: Column, b: Column) -> Column:
+    """divide, floor_divide, remainder (the divisor's sign) or fmod (the dividend's), masked where the divisor is as good as zero."""
+    a, b = a.cast("double"), b.cast("double")
+    fmod = a % b
+    safe = F.abs(a) * TINY < F.abs(b)
+    value = {
+        "divide": a / b,
+        "floor_divide": (a - F.when((fmod != 0) & ((fmod < 0) != (b < 0)), fmod + b).otherwise(fmod)) / b,
+        "remainder": F.when((fmod != 0) & ((fmod < 0) != (b < 0)), fmod + b).otherwise(fmod),
+        "fmod": fmod,
+    }[name]
+    return F.when(safe, _finite(F.rint(value) if name == "floor_divide" else value))
+
+
+def cov(df: DataFrame, x: str, y: str, by: Sequence[str] = (), ddof: int = 1) -> DataFrame:
+    """Covariance and correlation over the rows where neither cell is masked; NULL where too few remain."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n = F.count(F.lit(1))
+    value = F.when(n > ddof, F.covar_pop(x, y) * n / (n - ddof))
+    return both.groupBy(*by).agg(n.alias("n"), value.alias("cov"), F.corr(x, y).alias("corr"))
+
+
+def average(df: DataFrame, v: str, weights: str, by: Sequence[str] = ()) -> DataFrame:
+    """Weighted mean and the sum of the weights that count: those of cells that are not masked."""
+    w = F.when(F.col(v).isNotNull(), F.col(weights))
+    return df.groupBy(*by).agg((F.sum(F.col(v) * w) / F.sum(w)).alias("average"), F.sum(w).alias("weight"))

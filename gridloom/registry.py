@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from gridloom.plans import array_queries, axis_queries  # noqa: F401  (register on import)
+    from gridloom.plans import array_queries, axis_queries, domain_queries  # noqa: F401  (register on import)
 
 
 _load()

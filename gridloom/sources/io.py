@@ -74,6 +74,14 @@ def logspace(spark: SparkSession, start: float, stop: float, n: int, base: float
     return linspace(spark, start, stop, n).withColumn("v", F.pow(F.lit(base), F.col("v")))
 
 
+def geomspace(spark: SparkSession, start: float, stop: float, n: int) -> DataFrame:
+    """Both ends exact, equal ratios between; the ends have one sign."""
+    if start * stop <= 0:
+        raise ValueError("the ends of a geometric sequence are both positive or both negative")
+    inner = F.pow(F.lit(stop / start), F.col("id") / float(max(n - 1, 1))) * float(start)
+    return spark.range(n).select(F.col("id").alias("idx"), F.when(F.col("id") == 0, float(start)).when(F.col("id") == n - 1, float(stop)).otherwise(inner).alias("v"))
+
+
 def full(spark: SparkSession, shape: tuple[int, ...], value) -> DataFrame:
     from gridloom.operators.indexing import unravel_index
 
