@@ -172,12 +172,14 @@ class ContextRows:
 class ContextTree:
     """The same code lengths as ``ContextRows`` for one model, held sparsely: memory follows the distinct grams.
 
+    ``kind`` is the type that counts are kept in; single precision is exact up to 2**24.
+
     Grams seen at the full order have their cost in one table; only the others walk down
     the shorter contexts, carrying the context through which they escaped, as that one
     decides which symbols are excluded.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, kind: type = np.float32):
         self.order, self.levels = order, []
         above = None
         for k in range(order + 1):
@@ -187,7 +189,7 @@ class ContextTree:
             owner = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(keys)]])))
             n = np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64)
             q = np.bincount(owner, minlength=len(first)).astype(np.int16)
-            level = {"grams": HashIndex(_node_key(keys, k)), "nodes": HashIndex(_node_key(nodes, k)), "c": c.astype(np.float32), "n": n, "q": q, "keys": keys}
+            level = {"grams": HashIndex(_node_key(keys, k)), "nodes": HashIndex(_node_key(nodes, k)), "c": c.astype(kind), "n": n, "q": q, "keys": keys}
             if above is not None:
                 level["parent"] = np.searchsorted(above["sorted"], nodes & ContextRows._mask(k - 1)).astype(np.int32)
                 shared = above["c"][np.searchsorted(above["keys"], keys & ContextRows._mask(k))]
