@@ -316,12 +316,12 @@ def trapezoid(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFram
     return df.withColumn("__s", step).groupBy(*by).agg(F.coalesce(F.sum("__s"), F.lit(0.0)).alias("value"))
 
 
-def reduceat(df: DataFrame, v: str, idx: str, starts: Sequence[int], f=F.sum) -> DataFrame:
-    """Segment k covers [starts[k], starts[k+1]); a segment that doesn't rise is its first element alone."""
+def reduceat(df: DataFrame, v: str, idx: str, starts: Sequence[int], f=F.sum, stop: int | None = None) -> DataFrame:
+    """Segment k covers [starts[k], starts[k+1]); a segment that doesn't rise is its first element alone.  The last one ends before ``stop``, or with the array."""
     n = len(starts)
-    spans = [(k, s, (starts[k + 1] if k + 1 < n and starts[k + 1] > s else (2**62 if k + 1 == n else s + 1))) for k, s in enumerate(starts)]
+    spans = [(k, s, (starts[k + 1] if k + 1 < n and starts[k + 1] > s else (stop if k + 1 == n else s + 1))) for k, s in enumerate(starts)]
     segments = df.sparkSession.createDataFrame(spans, "segment int, lo long, hi long")
-    joined = df.join(F.broadcast(segments), (F.col(idx) >= F.col("lo")) & (F.col(idx) < F.col("hi")))
+    joined = df.join(F.broadcast(segments), (F.col(idx) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(idx) < F.col("hi"))))
     return joined.groupBy("segment").agg(f(v).alias("value"))
 
 

@@ -8,7 +8,7 @@ import pytest
 from oracle import TABLES, check
 
 from gridloom import registry
-from gridloom.operators import linalg
+from gridloom.operators import linalg, reduce
 
 
 @pytest.fixture
@@ -38,6 +38,14 @@ def test_unwrap_at_exactly_half_a_period(spark, tables):
     same("unwrap_phase", spark, tables(events=halves))
 
 
+def test_reduceat_ends_where_its_sql_does(spark, tables):
+    d = tables(part="SELECT p_partkey + 999900 * k AS p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part, range(2) t(k)")
+    same("reduceat_segments", spark, d)
+    part = spark.read.parquet(f"{d}/part.parquet")
+    whole = {r.segment: r.value for r in reduce.reduceat(part, "p_size", "p_partkey", [0, 100]).collect()}
+    assert whole[1] == part.where("p_partkey >= 100").agg({"p_size": "sum"}).first()[0]  # the operator's own last segment has no end
+
+
 ODD = """SELECT unnest([1, 2, 3, 4, 4, 5, 6, 7, 8, NULL]::BIGINT[]) AS vec_id, unnest([[1.0, 2, 3], [0.5, -1, 2], [1, 2], [3, NULL, 1], [1, 1, 4], [], NULL, [NULL, NULL, 7], [2, 1], [-2, 0.25, 1]]::FLOAT[][]) AS embedding, 0 AS label"""
 
 
